@@ -6,13 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import materialize, read
-from . import packing, ranking, splitting, termfreq, topn
+from . import leakage, packing, pairs, ranking, splitting, termfreq, topn, truncation
 
 LIMIT, OVERLAP = 500, 50
 TOP_CHUNKS = 6
 SCORES = ["vector_score", "bm25_score", "score"]
 FIRST_RESULTS = 5
 CAPACITY = 2048
+RUN, RUN_BY_LANG = 60, {"zh": 24}
 
 
 def p1_pieces(spark: SparkSession, d: str) -> DataFrame:
@@ -26,6 +27,21 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return p1_pieces(spark, d).where("n_pieces > 1 and id is not null").select("id").distinct()
 
 
+def p2_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Every pair of both tables with its defect."""
+    cols = ["question", "answer"]
+    asked = read(spark, d, "retrieval_records").select(
+        F.lit("retrieval_records").alias("pair_table"), F.col("record_id").cast("string").alias("pair_id"), *cols
+    )
+    made = read(spark, d, "qa_pairs").select(F.lit("qa_pairs").alias("pair_table"), F.col("id").alias("pair_id"), *cols)
+    return pairs.judged_pairs(asked.unionByName(made).where("pair_id is not null"))
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    """Defective pairs."""
+    return p2_pairs(spark, d).where("defect is not null").select("pair_table", "pair_id", "defect")
+
+
 def p5_topn(spark: SparkSession, d: str) -> DataFrame:
     """The 6 best chunks of every node."""
     entries = topn.scored_entries(read(spark, d, "node_mountings"), "node_id", "mounted_chunk_ids", "scores")
@@ -75,11 +91,47 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return p8_containers(spark, d).where("n_pieces > 1").select("doc_id").distinct()
 
 
+def p9_runs(spark: SparkSession, d: str) -> DataFrame:
+    """Runs of held-out text in documents."""
+    items = read(spark, d, "eval_items")
+    return leakage.leaked_runs(
+        read(spark, d, "documents"), "doc_id", "text", items, "item_id", ["question", "passage"], "lang", RUN, RUN_BY_LANG
+    )
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents and the items that leaked into them."""
+    return p9_runs(spark, d).select("doc_id", "item_id").distinct()
+
+
+def p9_templates(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that hold an item with other numbers, names or units."""
+    return leakage.reparameterised(
+        read(spark, d, "documents"), "doc_id", "text", read(spark, d, "eval_items"), "item_id", ["question", "passage"]
+    )
+
+
+def p10_documents(spark: SparkSession, d: str) -> DataFrame:
+    """How every document breaks off, if it does."""
+    return truncation.truncated(read(spark, d, "documents"), "doc_id", "text", "source")
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that were cut off."""
+    return p10_documents(spark, d).where("reason is not null").select("doc_id")
+
+
+def p10_sources(spark: SparkSession, d: str) -> DataFrame:
+    """Share of cut documents by source."""
+    return truncation.share_by_source(p10_documents(spark, d), "source")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
-        p1_found, p1_pieces, p5_found, p5_topn, p6_found, p6_ranking,
-        p7_found, p7_terms, p8_found, p8_containers,
+        p1_found, p1_pieces, p2_found, p2_pairs, p5_found, p5_topn, p6_found, p6_ranking,
+        p7_found, p7_terms, p8_found, p8_containers, p9_found, p9_runs, p9_templates,
+        p10_found, p10_documents, p10_sources,
     )
 }
 
