@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import materialize, read
-from . import leakage, packing, pairs, ranking, splitting, termfreq, topn, truncation
+from . import leakage, neighbours, packing, pairs, ranking, splitting, termfreq, topn, truncation
 
 LIMIT, OVERLAP = 500, 50
 TOP_CHUNKS = 6
@@ -42,6 +42,29 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return p2_pairs(spark, d).where("defect is not null").select("pair_table", "pair_id", "defect")
 
 
+VECTORS = {"graph_nodes": "name", "text_chunks": "id", "keyword_entries": "entry_key"}
+
+
+def _nearest(spark: SparkSession, d: str, least: float | None) -> DataFrame:
+    parts = [
+        neighbours.most_similar(read(spark, d, t), k, "embedding", 5, 64, least).withColumn("collection", F.lit(t))
+        for t, k in VECTORS.items()
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def p3_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    """The 5 most similar vectors of every sound vector."""
+    return _nearest(spark, d, None).select("collection", "left", "right", F.round("similarity", 6).alias("similarity"), "place")
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of similarity 0.85 or more of which one is among the 5 nearest of the other."""
+    near = _nearest(spark, d, 0.85)
+    pair = [F.least("left", "right").alias("left_id"), F.greatest("left", "right").alias("right_id")]
+    return near.select("collection", *pair).distinct()
+
+
 def p5_topn(spark: SparkSession, d: str) -> DataFrame:
     """The 6 best chunks of every node."""
     entries = topn.scored_entries(read(spark, d, "node_mountings"), "node_id", "mounted_chunk_ids", "scores")
@@ -129,7 +152,7 @@ def p10_sources(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        p1_found, p1_pieces, p2_found, p2_pairs, p5_found, p5_topn, p6_found, p6_ranking,
+        p1_found, p1_pieces, p2_found, p2_pairs, p3_found, p3_neighbours, p5_found, p5_topn, p6_found, p6_ranking,
         p7_found, p7_terms, p8_found, p8_containers, p9_found, p9_runs, p9_templates,
         p10_found, p10_documents, p10_sources,
     )

@@ -140,6 +140,8 @@ class Model:
         for n in orders:
             e, a = self.get("c", *seq[-n:])
             if a >= least:
+                if n >= len(seq) and e:
+                    return 1.0, a  # the whole passage is known as a complete one
                 return e / a, a
         return None
 
