@@ -27,12 +27,13 @@ def prefix(rows: DataFrame, group: list[str], order: list[Column], tokens: str,
     return rows.withColumn("used", used).where(F.col("used") <= lim)
 
 
-def supplement(rows: DataFrame, group: list[str], order: list[Column], tokens: str, limit: int, least: int = 100, rest: int = 50) -> DataFrame:
+def supplement(rows: DataFrame, group: list[str], order: list[Column], tokens: str, limit: Column | int, least: int = 100, rest: int = 50) -> DataFrame:
     """Rows of at least least tokens while they fit; the first that does
     not is cut to what remains, if that is at least rest.  taken = tokens used."""
     before = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     sized = rows.where(F.col(tokens) >= least)
-    left = F.lit(limit) - F.coalesce(F.sum(tokens).over(before), F.lit(0))
+    lim = limit if isinstance(limit, Column) else F.lit(limit)
+    left = lim - F.coalesce(F.sum(tokens).over(before), F.lit(0))
     sized = sized.withColumn("left", left)
     fits = F.col(tokens) <= F.col("left")
     return (
@@ -84,9 +85,8 @@ def anchor_budget(limit: int, used: int, anchors_left: int, floor: int = 800, ti
     return min(limit, used + share)
 
 
-def supplement_budget(limit: int, used: int, sufficient: bool) -> int:
+def supplement_budget(limit: int, used: Column, sufficient: Column) -> Column:
     """Tokens for the vector supplement; up to 200 it is not run."""
-    room = min(limit - used, int(limit * SUPPLEMENT_SHARE))
-    if sufficient and used > 0:
-        room = min(room, int(limit * SUFFICIENT_SHARE))
-    return room if room > 200 else 0
+    room = F.least(F.lit(limit) - used, F.lit(int(limit * SUPPLEMENT_SHARE)))
+    room = F.when(sufficient & (used > 0), F.least(room, F.lit(int(limit * SUFFICIENT_SHARE)))).otherwise(room)
+    return F.when(room > 200, room).otherwise(0)

@@ -197,11 +197,12 @@ def entity_retrieval(
     chunk_scores (query_id, id, score).
     """
     reached = (
-        query_keywords.join(similar, "word")
-        .join(chunk_kw, "keyword")
+        query_keywords.select("query_id", "word", "pos")
+        .join(similar.select("word", "keyword", "rank"), "word")
+        .join(chunk_kw.select("keyword", "chunk_id"), "keyword")
         .groupBy("query_id", F.col("chunk_id").alias("id"))
         .agg(F.min(F.struct("pos", "rank", "keyword"))["keyword"].alias("matched_keyword"))
     )
-    scored = reached.join(chunk_scores, ["query_id", "id"]).withColumn("score", F.round("score", 9))
+    scored = reached.join(chunk_scores.select("query_id", "id", "score"), ["query_id", "id"]).withColumn("score", F.round("score", 9))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions import splitters, text
 from ..operators import budget, caches, curation, fusion, graph, lexical, mount, node_embed, parsing, search
+from ..providers import HashEmbedding
 from ..session import materialize, read
+from .config import RetrievalConfig
+from .retrieval import Retriever, Store
 
 DIM, EVERY, K = 64, 50, 10
 
@@ -465,6 +468,47 @@ def qa_flatten(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+# Pipelines
+
+
+def _store(spark: SparkSession, d: str) -> Store:
+    nodes = graph.merge_nodes(
+        _nodes(spark, d).where("name is not null").withColumn("o", F.struct(F.coalesce("node_type", F.lit("")), F.to_json("source_tg"))), "o"
+    )
+    chunks = _chunks(spark, d)
+    entries = mount.sound(read(spark, d, "keyword_entries"), "entry_key", DIM, "keyword")
+    word = text.strip(F.col("keyword"))
+    kw_vec = entries.select(word.alias("keyword"), "v").where("keyword <> ''").groupBy("keyword").agg(F.max("v").alias("v"))
+    return Store(
+        materialize(nodes), materialize(_edges(spark, d)), materialize(mount.sound(_nodes(spark, d), "name", DIM)),
+        materialize(chunks), materialize(mount.sound(read(spark, d, "text_chunks"), "id", DIM)),
+        materialize(_mounts(spark, d)), materialize(_chunk_keywords(spark, d)), materialize(kw_vec),
+    )
+
+
+def _retriever(spark: SparkSession, d: str) -> tuple[Retriever, DataFrame]:
+    """Over the stated query set: pairs whose number is divisible by 50."""
+    r = Retriever(_store(spark, d), HashEmbedding(DIM), RetrievalConfig(keyword_threshold=0.2, context_tokens=2000, supplement_least=50))
+    number = F.regexp_extract("id", r"(\d+)$", 1).cast("long")
+    asked = read(spark, d, "qa_pairs").where((number % EVERY == 0) & F.col("question").isNotNull())
+    return r, r.questions(asked.groupBy(F.col("id").alias("query_id")).agg(F.min("question").alias("question")))
+
+
+def hybrid_retrieval(spark: SparkSession, d: str) -> DataFrame:
+    r, asked = _retriever(spark, d)
+    return r.hybrid(asked)
+
+
+def reasoning_context(spark: SparkSession, d: str) -> DataFrame:
+    r, asked = _retriever(spark, d)
+    return r.reasoning(asked)["context"].select("query_id", "id", "source_type", "tokens", "score", "rank")
+
+
+def answers(spark: SparkSession, d: str) -> DataFrame:
+    r, asked = _retriever(spark, d)
+    return r.answer(asked)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -477,6 +521,7 @@ QUERIES = {
         question_type, question_hash, question_antijoin, question_stats, failed_stats, failed_questions,
         file_antijoin, build_stats, token_cost, content_hash, format_tokens, exact_dedup, fuzzy_dedup, renumber,
         qa_first_wins, qa_stats, mermaid_nodes, mermaid_edges, mermaid_sequence, qa_flatten,
+        hybrid_retrieval, reasoning_context, answers,
     )
 }
 
