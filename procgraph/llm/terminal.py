@@ -67,19 +67,36 @@ def passages(text: str) -> list[tuple[str, bool, bool]]:
     return out
 
 
+MASK = (1 << 64) - 1
+#: Odd multipliers of the token k places before the end of a context.
+PLACES = tuple((0x9E3779B97F4A7C15 * (2 * k + 1) + (k << 33)) & MASK | 1 for k in range(max(ORDERS)))
+
+
 def key(kind: str, *parts: str) -> int:
     return xxhash.xxh64_intdigest("\x1f".join((kind, *parts)).encode("utf-8", "replace")) >> 1
 
 
-def context(seq: list[str], order: int) -> tuple[str, ...]:
-    return tuple(seq[-order:])
+def token_hash(token: str) -> int:
+    return xxhash.xxh64_intdigest(token.encode("utf-8", "replace"))
+
 
+def context_key(seq: list[str], order: int) -> int:
+    """Key of the last order tokens of seq, which starts with BEGIN."""
+    h = token_hash(f"order {order}")
+    for k, t in enumerate(reversed(seq[-order:])):
+        h = (h + token_hash(t) * PLACES[k]) & MASK
+    return h >> 1
 
-def evidence(texts: list[str], sources: list[str]) -> Iterator[tuple[int, int, int]]:
-    """(key, ends, all) of contexts, first words, words, word beginnings and sources."""
+
+def evidence(texts: list[str], sources: list[str]) -> dict[str, np.ndarray]:
+    """k, e, a: key, ends and all occurrences of contexts, first words, words, word
+    beginnings and sources.  Contexts are hashed for all positions at once."""
     ends: Counter = Counter()
     seen: Counter = Counter()
     words: Counter = Counter()
+    stream: list[str] = []
+    inside: list[int] = []  # places from the passage's BEGIN
+    last: list[int] = []  # 1 where a passage ends, -1 where its end is the text's and has no stop
     for text, source in zip(texts, sources):
         if not text:
             continue
@@ -96,23 +113,34 @@ def evidence(texts: list[str], sources: list[str]) -> Iterator[tuple[int, int, i
                 ends[("b", source or "")] += stopped
             whole = stopped or inner
             words.update(t if whole else t[:-1])
-            seq = [BEGIN, *t]
-            for j in range(2, len(seq) + 1 if whole else len(seq)):
-                for n in ORDERS:
-                    seen[("c", *seq[max(0, j - n) : j])] += 1
-            if whole:
-                for n in ORDERS:
-                    ends[("c", *seq[-n:])] += 1
-    for c, n in seen.items():
-        yield key(*c), ends.get(c, 0), n
+            stream.append(BEGIN)
+            stream += t
+            inside += range(len(t) + 1)
+            last += [0] * len(t) + [1 if whole else -1]
     begins: Counter = Counter()
     for w, n in words.items():
-        yield key("w", w), n, n
         if len(w) > 1 and (w[0].isalpha() or w[0] == "@"):
             for i in range(1, len(w)):
                 begins[w[:i]] += n
-    for b, n in begins.items():
-        yield key("p", b), n, n
+    rows = [(key(*c), ends.get(c, 0), n) for c, n in seen.items()]
+    rows += [(key("w", w), n, n) for w, n in words.items()] + [(key("p", b), n, n) for b, n in begins.items()]
+    parts = [np.array(rows, np.int64).reshape(-1, 3)]
+    if stream:
+        hashes = {w: token_hash(w) for w in set(stream)}
+        h = np.array([hashes[w] for w in stream], np.uint64)
+        depth, mark = np.array(inside), np.array(last)
+        at = np.flatnonzero((depth > 0) & (mark >= 0))
+        is_end = mark[at] == 1
+        with np.errstate(over="ignore"):
+            for n in ORDERS:
+                total = np.full(len(at), token_hash(f"order {n}"), np.uint64)
+                for k in range(n):
+                    has = depth[at] >= k
+                    total[has] += h[at[has] - k] * np.uint64(PLACES[k])
+                keys, where, count = np.unique((total >> np.uint64(1)).astype(np.int64), return_inverse=True, return_counts=True)
+                parts.append(np.stack([keys, np.bincount(where, is_end, len(keys)).astype(np.int64), count], 1))
+    table = np.concatenate(parts)
+    return {"k": table[:, 0], "e": table[:, 1], "a": table[:, 2]}
 
 
 class Model:
@@ -123,7 +151,9 @@ class Model:
         self.keys, self.ends, self.total = keys[order], ends[order].astype(np.int32), total[order].astype(np.int32)
 
     def get(self, *parts: str) -> tuple[int, int]:
-        k = key(*parts)
+        return self.at(key(*parts))
+
+    def at(self, k: int) -> tuple[int, int]:
         i = int(np.searchsorted(self.keys, k))
         return (int(self.ends[i]), int(self.total[i])) if i < len(self.keys) and self.keys[i] == k else (0, 0)
 
@@ -138,7 +168,7 @@ class Model:
     def end_share(self, seq: list[str], orders: tuple[int, ...] = ORDERS, least: int = 2) -> tuple[float, int] | None:
         """Share of ends and occurrences of the longest context with enough of them."""
         for n in orders:
-            e, a = self.get("c", *seq[-n:])
+            e, a = self.at(context_key(seq, n))
             if a >= least:
                 if n >= len(seq) and e:
                     return 1.0, a  # the whole passage is known as a complete one
@@ -168,12 +198,13 @@ def fit(df: DataFrame, text: str, source: str | None = None, fit_rows: int = FIT
         for pdf in batches:
             for low in range(0, len(pdf), 2000):
                 some = pdf.iloc[low : low + 2000]
-                rows = list(evidence(some["t"].tolist(), some["s"].tolist()))
-                yield pd.DataFrame(rows, columns=["k", "e", "a"])
+                yield pd.DataFrame(evidence(some["t"].tolist(), some["s"].tolist()))
 
     where = F.col(f"`{source}`") if source else F.lit("")
+    tasks = df.sparkSession.sparkContext.defaultParallelism
     counted = (
         sampled.select(F.col(f"`{text}`").alias("t"), where.cast("string").alias("s"))
+        .repartition(tasks)  # the sample is bounded; a single input file must not make a single task
         .mapInPandas(count, "k long, e long, a long")
         .groupBy("k")
         .agg(F.sum("e").alias("e"), F.sum("a").alias("a"))
