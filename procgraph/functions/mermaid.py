@@ -229,15 +229,18 @@ def graph_of_json(content: str | None, source_tg: str = "", default_relation: st
     """Nodes and edges of model output, edges by name (Q-06); a thinking
     part is dropped, broken JSON is repaired.  None if there is no object."""
     text = re.sub(r"<think>.*?</think>", "", content or "", flags=re.S)
-    data = json_of(text)
-    if not isinstance(data, dict):
-        start = text.find("{")
-        if start < 0:
-            return None
+    start = text.find("{")
+    fixed = repaired(text[start:]) if start >= 0 else ""
+    data = None
+    for t in [m[2] for m in FENCE.finditer(text)] + [text, fixed] + balanced(text):
         try:
-            data = json.loads(repaired(text[start:]))
+            data = json.loads(t.strip())
         except ValueError:
-            return None
+            continue
+        if isinstance(data, dict):
+            break
+    if not isinstance(data, dict):
+        return None
     nodes, names = [], {}
     for n in _first(data, "entities", "nodes", default=[]):
         if isinstance(n, dict):

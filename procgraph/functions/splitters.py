@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .text import chunk_id, strip
+from ..session import filled
 
 #: Where an oversized piece is divided, strongest first.
 SEPARATORS = ("\n\n", "\n", "。", "！", "？", ".", "!", "?")
@@ -166,7 +167,7 @@ def split(docs: DataFrame, keys: list[str], text: str, splitter: Splitter) -> Da
 
     kinds = ", ".join(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keys)
     named = docs.select(*columns, F.col(f"`{text}`").alias("_text"))
-    return named.mapInPandas(apply, f"{kinds}, chunk_index int, chunk string")
+    return named.mapInPandas(filled(apply), f"{kinds}, chunk_index int, chunk string")
 
 
 def chunks_of_files(files: DataFrame, splitter: Splitter) -> DataFrame:

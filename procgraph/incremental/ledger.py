@@ -113,7 +113,7 @@ def enqueue(ledger: DataFrame, work: DataFrame) -> DataFrame:
         "item",
         keep["version"].alias("version"),
         keep["state"].alias("state"),
-        (F.coalesce("old_token", F.lit(0)) + fresh.cast("long")).cast("long").alias("token"),
+        (F.coalesce("old_token", F.lit(0)) + (fresh & F.col("old_version").isNotNull()).cast("long")).cast("long").alias("token"),
         F.when(~fresh, F.col("old_owner")).alias("owner"),
         F.when(~fresh, F.col("old_lease_until")).alias("lease_until"),
         keep["output"].alias("output"),

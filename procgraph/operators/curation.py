@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import product_and_procedure, strip
-from ..session import materialize
+from ..session import filled, materialize
 from .graph import first_per
 
 #: Titles of a product that one round decides in order, and kept titles that may be broadcast.
@@ -85,7 +85,7 @@ def fuzzy_dedup(rows: DataFrame, threshold: float = 0.8) -> DataFrame:
                 yield pdf[keep]
 
         rest = left.join(head.select("key", "product"), ["key", "product"], "left_anti").select(*columns)
-        left = materialize(rest.mapInPandas(unlike, schema))
+        left = materialize(rest.mapInPandas(filled(unlike), schema))
     return decided if decided is not None else left
 
 

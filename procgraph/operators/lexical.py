@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import strip
+from ..session import filled
 
 #: Separators of the tokenizer that needs no dictionary.
 SEPARATORS = "[\\s，。！？；：、（）【】《》\"]+"
@@ -182,8 +183,7 @@ def text_rank(docs: DataFrame, key: str, text: Column, window: int = 5, rounds:
             yield pd.DataFrame(rows, columns=["id", "word", "score"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(f"`{key}`").alias("id"), tokens(text).alias("w")).where("w is not null").mapInPandas(
-        rank, f"id {kind}, word string, score double"
+    return docs.select(F.col(f"`{key}`").alias("id"), tokens(text).alias("w")).where("w is not null").mapInPandas(filled(rank), f"id {kind}, word string, score double"
     )
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.mermaid import diagrams, flowchart, graph_of, graph_of_json, keywords_and_code, qa_of, sequence
 from ..functions.text import edge_type, node_type
+from ..session import filled
 
 
 def _map(df: DataFrame, key: str, cols: list[str], schema: str, rows_of) -> DataFrame:
@@ -22,7 +23,7 @@ def _map(df: DataFrame, key: str, cols: list[str], schema: str, rows_of) -> Data
             yield pd.DataFrame(out, columns=names)
 
     chosen = df.select(F.col(f"`{key}`").alias("k"), *[F.col(f"`{c}`").cast("string").alias(f"c{i}") for i, c in enumerate(cols)])
-    return chosen.mapInPandas(apply, f"k {kind}, " + schema.replace("|", ", ")).withColumnRenamed("k", key)
+    return chosen.mapInPandas(filled(apply), f"k {kind}, " + schema.replace("|", ", ")).withColumnRenamed("k", key)
 
 
 def flowchart_nodes(df: DataFrame, key: str, code: str, chinese_only: bool = False) -> DataFrame:

@@ -26,6 +26,8 @@ def query_block(queries: DataFrame) -> tuple[list, np.ndarray]:
     rows = queries.select("query_id", "q").where("q is not null").limit(MAX_QUERIES + 1).collect()
     if len(rows) > MAX_QUERIES:
         raise ValueError(f"more than {MAX_QUERIES} queries: search them in blocks")
+    if not rows:
+        return [], np.zeros((0, 0))
     rows.sort(key=lambda r: str(r.query_id))
     q = np.array([r.q for r in rows], np.float64).reshape(len(rows), -1)
     length = np.linalg.norm(q, axis=1)

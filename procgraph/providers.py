@@ -17,6 +17,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from .session import filled
 
 
 class EmbeddingProvider(ABC):
@@ -171,7 +172,7 @@ def embed_column(df: DataFrame, key: str, text: str, provider: EmbeddingProvider
 
     kind = df.schema[key].dataType.simpleString()
     cols = df.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").alias("t"))
-    return cols.mapInPandas(run, f"k {kind}, v array<float>").withColumnRenamed("k", key)
+    return cols.mapInPandas(filled(run), f"k {kind}, v array<float>").withColumnRenamed("k", key)
 
 
 def map_column(df: DataFrame, key: str, text: str, call: Callable[[str], str]) -> DataFrame:
@@ -189,4 +190,4 @@ def map_column(df: DataFrame, key: str, text: str, call: Callable[[str], str]) -
 
     kind = df.schema[key].dataType.simpleString()
     cols = df.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").alias("t"))
-    return cols.mapInPandas(run, f"k {kind}, output string, success boolean, error_message string").withColumnRenamed("k", key)
+    return cols.mapInPandas(filled(run), f"k {kind}, output string, success boolean, error_message string").withColumnRenamed("k", key)

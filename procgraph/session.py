@@ -43,3 +43,15 @@ def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
     Pass a materialized frame, else the count repeats the work.
     """
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+
+def filled(function):
+    """A mapInPandas function without its empty frames: some string types do not
+    convert to Arrow when there is no row."""
+
+    def run(batches):
+        for pdf in function(batches):
+            if len(pdf):
+                yield pdf
+
+    return run

@@ -12,7 +12,7 @@ from ..operators.curation import batch_schema
 def read_texts(spark: SparkSession, folder: str, pattern: str = "*.txt") -> DataFrame:
     """(file_path, source_file, tg_id, text, file_size, modified_time), one
     row per file; tg_id is the file's stem.  A folder without files gives none."""
-    raw = spark.read.option("pathGlobFilter", pattern).option("wholetext", True).text(folder)
+    raw = spark.read.text(folder, wholetext=True, pathGlobFilter=pattern)
     name = F.col("_metadata.file_name")
     return raw.select(
         F.col("_metadata.file_path").alias("file_path"),
