@@ -22,6 +22,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from ..session import filled
 
 #: More held-out text than this is refused: it would no longer fit a broadcast.
 MAX_ITEM_CHARS = 20_000_000
@@ -250,7 +251,7 @@ def leaked_runs(
                         columns=[key, item_key, "part", "start", "length"],
                     )
 
-    return docs.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").alias("t")).mapInPandas(scan, schema)
+    return docs.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").alias("t")).mapInPandas(filled(scan), schema)
 
 
 def reparameterised(
@@ -324,7 +325,7 @@ def reparameterised(
                 if rows:
                     yield pd.DataFrame(rows, columns=[key, item_key, "part", "windows", "changed"])
 
-    return docs.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").alias("t")).mapInPandas(scan, schema)
+    return docs.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").alias("t")).mapInPandas(filled(scan), schema)
 
 
 def slots_changed(docs: Folded, known: Folded, hits: pd.DataFrame, tokens: int) -> int | None:

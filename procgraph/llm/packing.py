@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import filled, materialize
 
 
 def default_vocabulary() -> str:
@@ -60,7 +60,7 @@ def token_lengths(df: DataFrame, key: str, text: str, vocabulary: str | None = N
 
     kind = df.schema[key].dataType.simpleString()
     out = df.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").alias("t"))
-    return out.mapInPandas(count, f"k {kind}, n_tokens long").withColumnRenamed("k", key)
+    return out.mapInPandas(filled(count), f"k {kind}, n_tokens long").withColumnRenamed("k", key)
 
 
 def plan_slots(histogram: dict[int, int], capacity: int) -> tuple[list[tuple[int, int, int, int, int]], int]:

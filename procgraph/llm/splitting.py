@@ -14,6 +14,7 @@ import pandas as pd
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from ..session import filled
 
 #: Ends at which white space does not count.
 EDGE = " \t\r\n"
@@ -143,7 +144,6 @@ def split_oversized(
             yield pd.DataFrame(rows, columns=["k", "piece_index", "n_pieces", "char_start", "char_end", "piece"])
 
     kind = df.schema[key].dataType.simpleString()
-    out = long.mapInPandas(
-        pieces, f"k {kind}, piece_index int, n_pieces int, char_start int, char_end int, piece string"
+    out = long.mapInPandas(filled(pieces), f"k {kind}, piece_index int, n_pieces int, char_start int, char_end int, piece string"
     )
     return out.withColumnRenamed("k", key)

@@ -14,6 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from ..session import filled
 
 
 def fold(term: str | None) -> str | None:
@@ -43,7 +44,7 @@ def term_pairs(entries: DataFrame, key: str, term: str, records: str) -> DataFra
             pdf["times"] = pdf["record"].notna().astype("int64")
             yield pdf.groupby(["term", "record"], dropna=False, as_index=False)["times"].sum()
 
-    return keyed.select("term", "records").mapInPandas(local, "term string, record string, times long")
+    return keyed.select("term", "records").mapInPandas(filled(local), "term string, record string, times long")
 
 
 def count_terms(pairs: DataFrame, known: DataFrame) -> DataFrame:
@@ -77,7 +78,7 @@ def count_terms(pairs: DataFrame, known: DataFrame) -> DataFrame:
                 }
             )
 
-    scanned = ordered.mapInPandas(runs, "term string, occurrences long, n_records long")
+    scanned = ordered.mapInPandas(filled(runs), "term string, occurrences long, n_records long")
     return scanned.groupBy("term").agg(F.sum("occurrences").alias("occurrences"), F.sum("n_records").alias("n_records"))
 
 

@@ -19,6 +19,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from ..session import filled
 
 #: Texts the model is fitted on, at most (in expectation).
 FIT_ROWS = 10_000
@@ -205,7 +206,7 @@ def fit(df: DataFrame, text: str, source: str | None = None, fit_rows: int = FIT
     counted = (
         sampled.select(F.col(f"`{text}`").alias("t"), where.cast("string").alias("s"))
         .repartition(tasks)  # the sample is bounded; a single input file must not make a single task
-        .mapInPandas(count, "k long, e long, a long")
+        .mapInPandas(filled(count), "k long, e long, a long")
         .groupBy("k")
         .agg(F.sum("e").alias("e"), F.sum("a").alias("a"))
         .where("a > 1 or e > 0")

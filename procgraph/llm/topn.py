@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import broadcast_if_small, materialize
+from ..session import broadcast_if_small, filled, materialize
 
 #: More bounds than this are joined by shuffle instead of broadcast.
 MAX_BROADCAST_BOUNDS = 200_000
@@ -46,7 +46,7 @@ def lower_bounds(entries: DataFrame, n: int) -> DataFrame:
             nth = best[best.groupby("g").cumcount() == n - 1]
             yield nth[["g", "item", "score"]]
 
-    found = entries.mapInPandas(local, entries.schema)
+    found = entries.mapInPandas(filled(local), entries.schema)
     # Greatest bound: highest score, then smallest item; min over (-score, item).
     return found.groupBy("g").agg(F.min(F.struct((-F.col("score")).alias("s"), "item")).alias("bound"))
 
