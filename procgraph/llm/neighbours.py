@@ -24,7 +24,7 @@ from ..session import broadcast_if_small, materialize
 #: Vectors per pivot, and the bounds on the number of pivots (the sample).
 PER_PIVOT, MIN_PIVOTS, MAX_PIVOTS = 128, 8, 16_384
 #: Inverted files that a vector is posted in, length of a permutation, candidates reranked.
-FILES, PREFIX, CANDIDATES = 4, 8, 64
+FILES, PREFIX, CANDIDATES = 6, 8, 96
 BLOCK = 512
 
 
