@@ -261,6 +261,29 @@ SELECT query_id, id, rank, tokens, used FROM u WHERE used <= 700""",
 u AS (SELECT *, CAST(900 - coalesce(sum(tokens) OVER (PARTITION BY query_id ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS l
       FROM b WHERE tokens >= 60)
 SELECT query_id, id, rank, tokens, least(tokens, l) AS taken, tokens > l AS cut FROM u WHERE l > 0 AND (tokens <= l OR l >= 50)""",
+    "budget_two_tier": _BUDGET + """,
+x AS (SELECT *, CASE WHEN starts_with(id, 'BATCH') THEN 0 ELSE 1 END AS tier FROM b),
+w AS (SELECT *, sum(tokens) OVER t AS total, count(*) OVER t AS n FROM x
+      WINDOW t AS (PARTITION BY query_id, tier ORDER BY rank ROWS UNBOUNDED PRECEDING)),
+z AS (SELECT *, total + 6 * (n - 1) AS used, 700 AS lim FROM w WHERE tier = 0),
+zf AS (SELECT *, used <= lim AS fits, lim - (used - tokens) AS l, coalesce(lag(used <= lim) OVER (PARTITION BY query_id ORDER BY rank), true) AS prev FROM z),
+zt AS (SELECT *, CASE WHEN fits THEN tokens ELSE l END AS taken, CASE WHEN fits THEN used ELSE lim END AS after
+       FROM zf WHERE fits OR (prev AND l > 30)),
+s AS (SELECT query_id, max(after) AS spent FROM zt GROUP BY 1),
+o AS (SELECT w.*, coalesce(s.spent, 0) + total + 6 * (n - CASE WHEN s.spent IS NULL THEN 1 ELSE 0 END) AS used, 1000 AS lim
+      FROM w LEFT JOIN s USING (query_id) WHERE tier = 1),
+of AS (SELECT *, used <= lim AS fits, lim - (used - tokens) AS l, coalesce(lag(used <= lim) OVER (PARTITION BY query_id ORDER BY rank), true) AS prev FROM o),
+ot AS (SELECT *, CASE WHEN fits THEN tokens ELSE l END AS taken FROM of WHERE fits OR (prev AND l > 30))
+SELECT query_id, id, rank, tokens, tier, CAST(taken AS BIGINT) AS taken, NOT fits AS cut FROM zt
+UNION ALL SELECT query_id, id, rank, tokens, tier, CAST(taken AS BIGINT), NOT fits FROM ot""",
+    "causal_context": "WITH RECURSIVE " + _EDGES + "," + ranked("q", "vector_score", 50) + """,
+f AS (SELECT query_id, id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS n FROM q
+      WHERE id IN (SELECT name FROM graph_nodes)) WHERE n <= 3),""" + _PATHS.format(start="id", starts="f", to="dst", frm="src", most=5).replace("p AS", "pf AS").replace("FROM p JOIN", "FROM pf JOIN").replace("p.", "pf.").replace("FROM p)", "FROM pf)").replace("b AS", "bf AS") + "," + _PATHS.format(start="id", starts="f", to="src", frm="dst", most=5) + """
+SELECT f.query_id, f.id, f.id
+       || CASE WHEN len(b.path) > 1 THEN ' | 原因链: ' || array_to_string(list_reverse(b.path[2:]), ' → ') ELSE '' END
+       || CASE WHEN len(bf.path) > 1 THEN ' | 后果链: ' || array_to_string(bf.path[2:], ' → ') ELSE '' END AS text,
+       CAST(len(bf.path) AS INT) AS forward_length, CAST(len(b.path) AS INT) AS backward_length
+FROM f JOIN b ON b.name = f.id AND b.n = 1 JOIN bf ON bf.name = f.id AND bf.n = 1""",
     "question_type": """
 SELECT CASE WHEN regexp_matches(question, '步骤|流程|怎么做|如何操作|操作方法|怎样进行|怎么进行|执行顺序|操作顺序|程序|需要经过|需要哪些步骤|如何执行|怎么执行') THEN 'procedural'
             WHEN regexp_matches(question, '如果|若|什么情况下|什么条件|不满足|异常时|故障时|区别|不同') THEN 'conditional'
