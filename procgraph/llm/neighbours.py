@@ -26,6 +26,7 @@ PER_PIVOT, MIN_PIVOTS, MAX_PIVOTS = 128, 8, 16_384
 #: Inverted files that a vector is posted in, length of a permutation, candidates reranked.
 FILES, PREFIX, CANDIDATES = 6, 8, 96
 BLOCK = 512
+FILES_PER_TASK = 64
 
 
 def sound_vectors(df: DataFrame, key: str, vector: str, dim: int) -> DataFrame:
@@ -202,7 +203,9 @@ def most_similar(
         )
         return pa.table({"left": pa.array(keys[left], pa.string()), "right": pa.array(keys[right], pa.string()), "similarity": s})
 
-    found = posted.groupBy("pivot").applyInArrow(search, "left string, right string, similarity double")
+    # So many files to a task, whatever the size of the table.
+    tasks = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-len(pivots) // FILES_PER_TASK))
+    found = posted.repartition(tasks, "pivot").groupBy("pivot").applyInArrow(search, "left string, right string, similarity double")
     w = Window.partitionBy("left").orderBy(F.desc("similarity"), "right")
     return found.unionByName(copies).withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
 
