@@ -18,6 +18,7 @@ from ..operators import budget, fusion, graph, lexical, search
 from ..providers import EchoModel, EmbeddingProvider, LanguageModel, embed_column, map_column
 from ..session import materialize
 from .config import RetrievalConfig
+from .generate import keyword_boost
 
 
 @dataclass
@@ -64,11 +65,20 @@ class Retriever:
             scored = scored.join(wanted, "id", "left_semi")
         return search.top_k(scored.where("score > 0").withColumn("score", F.round("score", 6)), k)
 
-    def anchors(self, asked: DataFrame, k: int, node_types: list[str] | None = None) -> DataFrame:
-        """Vector and BM25 ranks fused (Q-04: the type filter holds for
-        BM25 only)."""
+    def anchors(self, asked: DataFrame, k: int, node_types: list[str] | None = None, devices: DataFrame | None = None) -> DataFrame:
+        """Vector and BM25 ranks fused (Q-04: the type filter holds for
+        BM25 only); with devices (query_id, system_device) nodes whose keywords
+        resemble the device are raised (Q-05)."""
         wide = k * self.config.recall_multiplier
-        return fusion.multi_signal(self.node_search(asked, wide), self.node_bm25(asked, wide, node_types), None, k, self.config.rrf_k)
+        vector, words = self.node_search(asked, wide), self.node_bm25(asked, wide, node_types)
+        boost = None
+        if devices is not None:
+            vector, words = materialize(vector), materialize(words)
+            listed = F.filter(F.split(F.try_element_at("properties", F.lit("keywords")), r"[\\[\\]\",\\s]+"), lambda x: x != "")
+            keywords = self.store.nodes.select(F.col("name").alias("id"), listed.alias("keywords"))
+            found = vector.select("query_id", "id").unionByName(words.select("query_id", "id"))
+            boost = keyword_boost(devices, found, keywords, self.embedder)
+        return fusion.multi_signal(vector, words, boost, k, self.config.rrf_k)
 
     def graph_branch(self, asked: DataFrame, k: int, node_types: list[str] | None = None) -> DataFrame:
         """Twice the nodes, type filter, neighbours, causal context, first k."""
@@ -235,7 +245,10 @@ class Retriever:
         rows = known.select("query_id", "id", "text", "tokens", "source_type").unionByName(
             extra.select("query_id", "id", "text", "tokens", "source_type")
         )
-        scored = rows.join(self.store.chunk_vec, "id", "left").join(asked.select("query_id", "q"), "query_id")
+        rows = materialize(rows)
+        lacking = rows.select("id", "text").join(self.store.chunk_vec, "id", "left_anti").groupBy("id").agg(F.min("text").alias("text"))
+        vectors = self.store.chunk_vec.select("id", "v").unionByName(embed_column(lacking, "id", "text", self.embedder))
+        scored = rows.join(vectors, "id", "left").join(asked.select("query_id", "q"), "query_id")
         scored = scored.withColumn("score", F.round(cosine(F.col("q"), F.col("v")), 6)).drop("v", "q")
         order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
         return {"context": scored.withColumn("rank", F.row_number().over(order)), "paths": w["paths"], "used": w["used"]}
