@@ -27,6 +27,7 @@ PER_PIVOT, MIN_PIVOTS, MAX_PIVOTS = 128, 8, 16_384
 FILES, PREFIX, CANDIDATES = 6, 8, 96
 BLOCK = 512
 FILES_PER_TASK = 64
+DENSE = 2048
 
 
 def sound_vectors(df: DataFrame, key: str, vector: str, dim: int) -> DataFrame:
@@ -140,19 +141,29 @@ def search_file(pivot: int, keys: np.ndarray, vectors: np.ndarray, perms: np.nda
             cand = np.argpartition(-agreement, CANDIDATES - 1, axis=1)[:, :CANDIDATES]
         else:
             cand = np.broadcast_to(np.arange(n), (high - low, n))
-        s = np.einsum("bd,bcd->bc", exact[low:high], exact[cand])
-        common = posted[low:high, None, :, None] == posted[cand][:, :, None, :]
-        owner = np.where(common.any(3), posted[low:high, None, :], np.int16(32767)).min(2)
-        bad = (owner != pivot) | (cand == np.arange(low, high)[:, None])
+        if n <= DENSE:  # one product of matrices is cheaper than gathering the candidates
+            s = np.take_along_axis(exact[low:high] @ exact.T, cand, 1)
+        else:
+            s = np.einsum("bd,bcd->bc", exact[low:high], exact[cand])
+        s = np.round(s, 12)  # so that copies tie whatever the order of summation
+        good = cand != np.arange(low, high)[:, None]
         if least is not None:
-            bad |= s < least
-        s = np.where(bad, -np.inf, s)
-        order = np.lexsort((rank[cand], -s), axis=1)[:, :k]
-        best, right = np.take_along_axis(s, order, 1), np.take_along_axis(cand, order, 1)
-        i, j = np.nonzero(best > -np.inf)
-        lefts.append(i + low)
-        rights.append(right[i, j])
-        sims.append(best[i, j])
+            good &= s >= least
+        i, c = np.nonzero(good)
+        mine, theirs = posted[low + i], posted[cand[i, c]]
+        common = (mine[:, :, None] == theirs[:, None, :]).any(2)
+        owned = np.where(common, mine, np.int16(32767)).min(1, initial=32767) == pivot
+        i, c = i[owned], c[owned]
+        rows = np.unique(i)
+        best = np.full(s.shape, -np.inf)
+        best[i, c] = s[i, c]
+        best, right = best[rows], cand[rows]
+        order = np.lexsort((rank[right], -best), axis=1)[:, :k]
+        best, right = np.take_along_axis(best, order, 1), np.take_along_axis(right, order, 1)
+        i, c = np.nonzero(best > -np.inf)
+        lefts.append(rows[i] + low)
+        rights.append(right[i, c])
+        sims.append(best[i, c])
     left, right = np.concatenate(lefts), np.concatenate(rights)
     return left, right, np.concatenate(sims)
 
