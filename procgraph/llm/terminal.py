@@ -232,6 +232,9 @@ TAG = re.compile(r"<(/?)([A-Za-z][A-Za-z0-9]*)(?:\s[^<>]*?)?(/?)>")
 VOID = {"br", "hr", "img", "input", "meta", "link", "wbr", "p", "li", "td", "tr", "th"}
 PAIRS = {")": "(", "]": "[", "}": "{", "）": "（", "】": "【", "」": "「", "』": "『", "”": "“", "»": "«", "》": "《"}
 
+OPENERS = frozenset(PAIRS.values())
+OPENING = re.compile("[" + re.escape("".join(sorted(OPENERS))) + '„"]')
+
 
 def open_at_end(text: str) -> str | None:
     """Stack automaton: what is still open at the end of the text, if anything.
@@ -252,6 +255,8 @@ def open_at_end(text: str) -> str | None:
     if text.count("```") % 2:
         return "markup"
     line = TAG.sub("", text.rstrip().rpartition("\n")[2])
+    if not OPENING.search(line):
+        return None
     if re.match(r"\s*(?:\d+|[A-Za-z])\)", line):
         line = line.partition(")")[2]
     opened: list[str] = []
@@ -261,7 +266,7 @@ def open_at_end(text: str) -> str | None:
             german += 1
         elif c == "“" and german:
             german -= 1
-        elif c in PAIRS.values():
+        elif c in OPENERS:
             opened.append(c)
         elif c in PAIRS and opened and opened[-1] == PAIRS[c]:
             opened.pop()
