@@ -81,8 +81,9 @@ def pick_pivots(rows: DataFrame, total: int, dim: int) -> np.ndarray:
     vectors, MAX_PIVOTS at most; that bounds what comes to the driver."""
     m = max(MIN_PIVOTS, min(MAX_PIVOTS, total // PER_PIVOT))
     share = min(1.0, 2.0 * m / max(total, 1) + 64.0 / max(total, 1))
-    some = rows.where(F.pmod(F.xxhash64("key", F.lit(1)), F.lit(1_000_000_000)) <= int(share * 1e9)).select("v").limit(m)
-    table = some.toArrow()
+    place = F.pmod(F.xxhash64("key", F.lit(1)), F.lit(1_000_000_000))
+    some = rows.where(place <= int(share * 1e9)).select("v", place.alias("p"), "key").orderBy("p", "key").limit(m)
+    table = some.select("v").toArrow()
     flat = table.column("v").combine_chunks()
     values = np.concatenate([c.values.to_numpy() for c in flat.chunks]) if isinstance(flat, pa.ChunkedArray) else flat.flatten().to_numpy()
     pivots = np.asarray(values, np.float32).reshape(-1, dim)
