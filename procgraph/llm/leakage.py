@@ -39,6 +39,7 @@ START_SLACK, END_SLACK = 8, 4
 SEPARATOR, NAME, QUANTITY = 1, 2, 3  # codes that folded text can't contain
 _ODD = 0x9E3779B97F4A7C15 | 1
 _BITS = 22
+BLOCK_CHARS = 1_500_000
 
 
 def fold(text: str) -> str:
@@ -148,9 +149,9 @@ class Index:
             seen[template >> np.uint64(64 - _BITS)] = True
             self.levels.append((width, seen, np.unique(template), both[order], i[order]))
 
-    def runs_in(self, docs: Folded) -> list[tuple[int, int, int, int]]:
-        """(document, text, start in the document, length) of shared runs that are
-        as long as the text needs."""
+    def runs_in(self, docs: Folded) -> list[tuple[int, int, int, int, int]]:
+        """(document, text, start in the document, length, start in the text) of
+        shared runs that are as long as the text needs."""
         out = []
         for width, seen, templates, both, tokens in self.levels:
             i, j = docs.by_span(width)
@@ -182,10 +183,31 @@ class Index:
                 a, b = extend(docs.texts[d], self.texts[t], p, p - diagonal)
                 reached[d, t, diagonal] = b
                 if b - a >= self.need[t]:
-                    out.append((d, t, a, b - a))
+                    out.append((d, t, a, b - a, a - diagonal))
         return out
 
 
+def blocks(texts: list[str], overlap: int) -> Iterator[tuple[list[int], list[int], list[str]]]:
+    """Texts in blocks of about BLOCK_CHARS characters: (numbers, offsets, pieces).
+    A longer text comes in pieces that share overlap characters, so memory does
+    not depend on the length of a text."""
+    numbers, offsets, pieces, size = [], [], [], 0
+    for n, t in enumerate(texts):
+        for at in range(0, max(1, len(t) - overlap), BLOCK_CHARS):
+            piece = t[at : at + BLOCK_CHARS + overlap] if len(t) > BLOCK_CHARS else t
+            if size and size + len(piece) > BLOCK_CHARS:
+                yield numbers, offsets, pieces
+                numbers, offsets, pieces, size = [], [], [], 0
+            numbers.append(n)
+            offsets.append(at)
+            pieces.append(piece)
+            size += len(piece)
+            if len(t) <= BLOCK_CHARS:
+                break
+    if pieces:
+        yield numbers, offsets, pieces
+
+
 def extend(doc: str, text: str, p: int, q: int) -> tuple[int, int]:
     """Ends in doc of the longest equal run of doc and text around doc[p], text[q]."""
     a, b, c, d = p, q, p, q
@@ -241,15 +263,18 @@ def leaked_runs(
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for low in range(0, len(pdf), 1000):
-                some = pdf.iloc[low : low + 1000]
-                ids = some["k"].tolist()
-                found = index.value.runs_in(Folded([fold(t) if t else "" for t in some["t"]]))
-                if found:
-                    yield pd.DataFrame(
-                        [(ids[d], *owners[t], a, n) for d, t, a, n in found],
-                        columns=[key, item_key, "part", "start", "length"],
-                    )
+            ids = pdf["k"].tolist()
+            texts = [fold(t) if t else "" for t in pdf["t"]]
+            found = set()  # a run over the border of two pieces is extended to the same whole run
+            for numbers, offsets, pieces in blocks(texts, max(map(len, folded)) + 100):
+                for d, t, a, _, q in index.value.runs_in(Folded(pieces)):
+                    n, a = numbers[d], a + offsets[d]
+                    a, b = extend(texts[n], index.value.texts[t], a, q)
+                    found.add((n, t, a, b - a))
+            yield pd.DataFrame(
+                [(ids[n], *owners[t], a, size) for n, t, a, size in sorted(found)],
+                columns=[key, item_key, "part", "start", "length"],
+            )
 
     return docs.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").alias("t")).mapInPandas(filled(scan), schema)
 
@@ -297,33 +322,34 @@ def reparameterised(
             return
         seen = np.zeros(1 << _BITS, bool)
         seen[hashes >> np.uint64(64 - _BITS)] = True
+        longest = max(map(len, known.texts)) + 100
         for pdf in batches:
-            for low in range(0, len(pdf), 1000):
-                some = pdf.iloc[low : low + 1000]
-                ids = some["k"].tolist()
-                folded_docs = Folded([fold(t) if t else "" for t in some["t"]])
-                i, j = folded_docs.by_count(tokens)
-                h = folded_docs.template_hash(i, j)
+            ids = pdf["k"].tolist()
+            rows: dict[tuple[int, int], tuple[int, int]] = {}
+            for numbers, _, pieces in blocks([fold(t) if t else "" for t in pdf["t"]], longest):
+                docs_here = Folded(pieces)
+                i, j = docs_here.by_count(tokens)
+                h = docs_here.template_hash(i, j)
                 near = seen[h >> np.uint64(64 - _BITS)]
                 i, h = i[near], h[near]
                 a, b = np.searchsorted(hashes, h, "left"), np.searchsorted(hashes, h, "right")
                 times = b - a
                 which = np.repeat(a - np.concatenate([[0], np.cumsum(times)[:-1]]), times) + np.arange(times.sum())
                 theirs, mine = np.repeat(i, times), at[which]
-                doc = folded_docs.text_of(folded_docs.start[theirs])
+                doc = docs_here.text_of(docs_here.start[theirs])
                 part = known.text_of(known.start[mine])
-                # One window per item window and diagonal in template space.
-                hits = pd.DataFrame({"d": doc, "t": part, "g": theirs - mine, "m": mine, "h": theirs})
-                rows = []
+                hits = pd.DataFrame({"d": doc, "t": part, "m": mine, "h": theirs})
                 for (d, t), g in hits.groupby(["d", "t"]):
                     share = g["m"].nunique()
                     if share < least * sizes[t]:
                         continue
-                    changed = slots_changed(folded_docs, known, g, tokens)
+                    changed = slots_changed(docs_here, known, g, tokens)
                     if changed is not None:
-                        rows.append((ids[d], *owners[t], share, changed))
-                if rows:
-                    yield pd.DataFrame(rows, columns=[key, item_key, "part", "windows", "changed"])
+                        rows[numbers[d], t] = max(rows.get((numbers[d], t), (0, 0)), (share, changed))
+            yield pd.DataFrame(
+                [(ids[n], *owners[t], *found) for (n, t), found in rows.items()],
+                columns=[key, item_key, "part", "windows", "changed"],
+            )
 
     return docs.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").alias("t")).mapInPandas(filled(scan), schema)
 

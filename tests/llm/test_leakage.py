@@ -1,5 +1,6 @@
 import random
 
+from procgraph.llm import leakage
 from procgraph.llm.leakage import fold, leaked_runs, reparameterised
 
 ITEMS = [
@@ -39,6 +40,18 @@ def test_runs_equal_brute_force(spark, collect):
     assert min(r[0] for r in collect(got, "length")) >= 24
 
 
+def test_long_texts_in_pieces(spark, collect, monkeypatch):
+    monkeypatch.setattr(leakage, "BLOCK_CHARS", 300)
+    p = ITEMS[0][3]
+    docs = [(k, "x" * k + p + "y" * 900 + p[:70]) for k in range(0, 700, 23)] + [(9999, "z" * 2000)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    items = spark.createDataFrame(ITEMS, "item_id long, lang string, question string, passage string")
+    got = collect(leaked_runs(df, "doc_id", "text", items, "item_id", ["passage"]), "doc_id", "start", "length")
+    whole = len(fold(p))
+    assert [g for g in got if g[2] == whole] == [(k, k, whole) for k, _ in docs[:-1]]
+    assert len(got) == (len(docs) - 1) * (2 if len(fold(p[:70])) >= 60 else 1)
+
+
 def test_empty_tables(spark):
     items = spark.createDataFrame(ITEMS, "item_id long, lang string, question string, passage string")
     docs = spark.createDataFrame([(1, ITEMS[0][3])], "doc_id long, text string")
