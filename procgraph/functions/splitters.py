@@ -23,6 +23,7 @@ SEPARATORS = ("\n\n", "\n", "。", "！", "？", ".", "!", "?")
 HEADING = re.compile(
     r"^(?:#{1,6}\s+.+|第[一二三四五六七八九十\d]+[章节、].+|\d+\.\s+.+|\d+\.\d+\s+.+|[一二三四五六七八九十]+[、.].+)$", re.M
 )
+#: What ends a sentence; a point inside a number does not.
 SENTENCE_END = re.compile(r"[。！？；!?;]|\.(?=\s|$|[^\d\w])")
 
 
