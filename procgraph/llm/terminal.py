@@ -23,7 +23,7 @@ from ..session import filled
 
 #: Texts the model is fitted on, at most (in expectation).
 FIT_ROWS = 10_000
-ORDERS = (7, 4, 2)
+ORDERS = (7, 4, 2, 1)
 BEGIN = "\x02"
 STARTS = (6, 3, 2)
 END_SHARE = 0.05
@@ -166,7 +166,7 @@ class Model:
                 return e / a, a
         return 0.0, 0
 
-    def end_share(self, seq: list[str], orders: tuple[int, ...] = ORDERS, least: int = 2) -> tuple[float, int] | None:
+    def end_share(self, seq: list[str], orders: tuple[int, ...] = ORDERS[:-1], least: int = 3) -> tuple[float, int] | None:
         """Share of ends and occurrences of the longest context with enough of them."""
         for n in orders:
             e, a = self.at(context_key(seq, n))
@@ -336,8 +336,12 @@ def breaks_off(text: str | None, model: Model, source: str | None = None) -> str
         limit = END_SHARE if stops_here else 0.02
         if share and share[0] < limit:
             return "sentence"
-        if not share and seq[-1][0].isalpha() and model.get("p", seq[-1])[1]:
-            return "word"
+        if not share and seq[-1][0].isalpha():
+            e, a = model.at(context_key(seq, 1))
+            if len(seq[-1]) > 1 and a >= 50 and e < 0.005 * a:
+                return "sentence"  # a word that never ends a sentence, in a new context
+            if model.get("p", seq[-1])[1]:
+                return "word"
     else:
         share = model.end_share(seq, (2,), 20)
         if share and share[0] < 0.02:
