@@ -288,64 +288,79 @@ def reparameterised(
     item_texts: list[str],
     tokens: int = 40,
     least: float = 0.5,
+    item_lang: str | None = None,
+    tokens_by_lang: dict[str, int] | None = None,
 ) -> DataFrame:
     """(key, item key, part, windows, changed): documents that hold at least least
     of the template windows (of tokens template characters) of an item's text in
     order, with slots that map one to one onto other values.
 
-    changed counts the differing slots; 0 means a copy with equal values.  Texts
-    shorter than a window are left out.
+    changed counts the differing slots; 0 means a copy with equal values.  Items
+    in a language of tokens_by_lang have windows of that many; a text with a
+    shorter template is one window.
     """
-    owners, folded = [], []
-    for item, _, *parts in held_out(items, item_key, item_texts, None):
+    owners, folded, needs = [], [], []
+    for item, lang, *parts in held_out(items, item_key, item_texts, item_lang):
+        need = (tokens_by_lang or {}).get((lang or "").strip().lower(), tokens)
         for name, part in zip(item_texts, parts):
             t = fold(part or "")
             if t:
                 owners.append((item, name))
                 folded.append(t)
+                needs.append(need)
     kinds = docs.schema[key].dataType.simpleString(), items.schema[item_key].dataType.simpleString()
     schema = f"`{key}` {kinds[0]}, `{item_key}` {kinds[1]}, part string, windows long, changed long"
     if not folded:
         return docs.sparkSession.createDataFrame([], schema)
     known = Folded(folded)
-    i, j = known.by_count(tokens)
-    keep = known.whole(i, j)
-    i, j = i[keep], j[keep]
-    hashes = known.template_hash(i, j)
-    order = np.argsort(hashes, kind="stable")
-    sizes = np.bincount(known.text_of(known.start[i]), minlength=len(folded))
-    shared = docs.sparkSession.sparkContext.broadcast((known, hashes[order], i[order], sizes))
+    own = np.bincount(known.text_of(known.start), minlength=len(folded))[: len(folded)] - 1  # without the separator
+    need = np.minimum(needs, own)
+    levels, sizes = [], np.zeros(len(folded), np.int64)
+    for width in np.unique(need).tolist():
+        i, j = known.by_count(width)
+        keep = known.whole(i, j)
+        keep[keep] = need[known.text_of(known.start[i[keep]])] == width
+        i, j = i[keep], j[keep]
+        hashes = known.template_hash(i, j)
+        order = np.argsort(hashes, kind="stable")
+        levels.append((width, hashes[order], i[order]))
+        sizes += np.bincount(known.text_of(known.start[i]), minlength=len(folded))
+    shared = docs.sparkSession.sparkContext.broadcast((known, levels, sizes))
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known, hashes, at, sizes = shared.value
-        if not len(hashes):
-            return
-        seen = np.zeros(1 << _BITS, bool)
-        seen[hashes >> np.uint64(64 - _BITS)] = True
+        known, levels, sizes = shared.value
+        filters = []
+        for _, hashes, _ in levels:
+            seen = np.zeros(1 << _BITS, bool)
+            seen[hashes >> np.uint64(64 - _BITS)] = True
+            filters.append(seen)
         longest = max(map(len, known.texts)) + 100
         for pdf in batches:
             ids = pdf["k"].tolist()
             rows: dict[tuple[int, int], tuple[int, int]] = {}
             for numbers, _, pieces in blocks([fold(t) if t else "" for t in pdf["t"]], longest):
                 docs_here = Folded(pieces)
-                i, j = docs_here.by_count(tokens)
-                h = docs_here.template_hash(i, j)
-                near = seen[h >> np.uint64(64 - _BITS)]
-                i, h = i[near], h[near]
-                a, b = np.searchsorted(hashes, h, "left"), np.searchsorted(hashes, h, "right")
-                times = b - a
-                which = np.repeat(a - np.concatenate([[0], np.cumsum(times)[:-1]]), times) + np.arange(times.sum())
-                theirs, mine = np.repeat(i, times), at[which]
-                doc = docs_here.text_of(docs_here.start[theirs])
-                part = known.text_of(known.start[mine])
-                hits = pd.DataFrame({"d": doc, "t": part, "m": mine, "h": theirs})
-                for (d, t), g in hits.groupby(["d", "t"]):
-                    share = g["m"].nunique()
-                    if share < least * sizes[t]:
+                for (width, hashes, at), seen in zip(levels, filters):
+                    i, j = docs_here.by_count(width)
+                    h = docs_here.template_hash(i, j)
+                    near = seen[h >> np.uint64(64 - _BITS)]
+                    i, h = i[near], h[near]
+                    a, b = np.searchsorted(hashes, h, "left"), np.searchsorted(hashes, h, "right")
+                    times = b - a
+                    if not times.sum():
                         continue
-                    changed = slots_changed(docs_here, known, g, tokens)
-                    if changed is not None:
-                        rows[numbers[d], t] = max(rows.get((numbers[d], t), (0, 0)), (share, changed))
+                    which = np.repeat(a - np.concatenate([[0], np.cumsum(times)[:-1]]), times) + np.arange(times.sum())
+                    theirs, mine = np.repeat(i, times), at[which]
+                    doc = docs_here.text_of(docs_here.start[theirs])
+                    part = known.text_of(known.start[mine])
+                    hits = pd.DataFrame({"d": doc, "t": part, "m": mine, "h": theirs})
+                    for (d, t), g in hits.groupby(["d", "t"]):
+                        share = g["m"].nunique()
+                        if share < least * sizes[t]:
+                            continue
+                        changed = slots_changed(docs_here, known, g, width)
+                        if changed is not None:
+                            rows[numbers[d], t] = max(rows.get((numbers[d], t), (0, 0)), (share, changed))
             yield pd.DataFrame(
                 [(ids[n], *owners[t], *found) for (n, t), found in rows.items()],
                 columns=[key, item_key, "part", "windows", "changed"],

@@ -14,6 +14,7 @@ SCORES = ["vector_score", "bm25_score", "score"]
 FIRST_RESULTS = 5
 CAPACITY = 2048
 RUN, RUN_BY_LANG = 60, {"zh": 24}
+TOKENS, TOKENS_BY_LANG = 40, {"zh": 16}  # template tokens, in the proportion of the runs
 
 
 def p1_pieces(spark: SparkSession, d: str) -> DataFrame:
@@ -130,8 +131,9 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 def p9_templates(spark: SparkSession, d: str) -> DataFrame:
     """Documents that hold an item with other numbers, names or units."""
     return leakage.reparameterised(
-        read(spark, d, "documents"), "doc_id", "text", read(spark, d, "eval_items"), "item_id", ["question", "passage"]
-    )
+        read(spark, d, "documents"), "doc_id", "text", read(spark, d, "eval_items"), "item_id", ["question", "passage"],
+        TOKENS, item_lang="lang", tokens_by_lang=TOKENS_BY_LANG,
+    )
 
 
 def p10_documents(spark: SparkSession, d: str) -> DataFrame:

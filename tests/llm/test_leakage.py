@@ -69,3 +69,13 @@ def test_other_values_are_found_only_if_consistent(spark, collect):
     items = spark.createDataFrame(ITEMS, "item_id long, lang string, question string, passage string")
     got = {r[0]: r[1] for r in collect(reparameterised(docs, "doc_id", "text", items, "item_id", ["passage"]), "doc_id", "changed")}
     assert got == {1: 3, 2: 0}
+
+
+def test_chinese_questions_have_windows_of_their_own(spark, collect):
+    q = "当缓冲罐 SC-1587连续68分钟处于38.8 %时，液位计 DR-8356上的哪一个示值说明班组可以放行？"
+    other = q.replace("SC-1587", "HX-2222").replace("68", "7").replace("DR-8356", "TK-3333")
+    docs = spark.createDataFrame([(1, "班前会。" + other), (2, "什么也没有。"), (3, "处于38.8 %时"), (4, q)], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "zh", q), (2, "zh", "要多久？")], "item_id long, lang string, question string")
+    for more in ({"item_lang": "lang", "tokens_by_lang": {"zh": 16}}, {}):  # without, the text is one window
+        got = reparameterised(docs, "doc_id", "text", items, "item_id", ["question"], **more)
+        assert collect(got, "doc_id", "item_id", "changed") == [(1, 1, 3), (4, 1, 0)]
