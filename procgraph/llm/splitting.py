@@ -2,7 +2,8 @@
 
 Method: balanced targets.  The minimum number of pieces is computed, equally
 long targets are placed, each is snapped to the strongest boundary near it, and
-a piece is added whenever a limit would be broken.
+a piece is added whenever a limit would be broken or a cut would miss the only
+boundaries that a piece can end at.
 """
 
 from __future__ import annotations
@@ -66,8 +67,27 @@ def split_points(text: str, limit: int, overlap: int, reach: float = 0.35) -> li
     return list(zip(starts, cuts + [n]))
 
 
+def _strongest(low, high, target, overlap, levels, inner):
+    """The boundary in low..high nearest to the target, of the strongest kind there."""
+    for ends in levels:
+        best = None
+        for e in ends[bisect_left(ends, low) : bisect_right(ends, high)]:
+            bad = 0
+            if inner:
+                if e in inner:
+                    continue
+                bad = int((e - overlap) in inner)
+            key = (bad, abs(e - target), e)
+            if best is None or key < best:
+                best = key
+        if best is not None:
+            return best[2]
+    return None
+
+
 def _snap(n, k, limit, overlap, reach, levels, inner):
-    """k-1 cuts near balanced targets, or None if a piece gets too long."""
+    """At most k-1 cuts near balanced targets, or None if a piece gets too long or
+    would be cut hard although one more piece lets it end at a boundary."""
     cuts: list[int] = []
     start = 0
     for i in range(1, k):
@@ -76,6 +96,8 @@ def _snap(n, k, limit, overlap, reach, levels, inner):
         most = min(start + limit, n - 1)
         least = max(start + overlap + 1, n - left * (limit - overlap))
         if least > most:
+            if n - start <= limit:
+                break  # nothing is left for the pieces still to come
             return None
         # Balanced over what is left, so that one moved cut doesn't unbalance the rest.
         ideal = (n - start - overlap) / (left + 1)
@@ -83,22 +105,11 @@ def _snap(n, k, limit, overlap, reach, levels, inner):
         low, high = max(least, int(target - reach * ideal)), min(most, int(target + reach * ideal))
         if low > high:
             low = high = min(max(int(target), least), most)
-        cut = None
-        for ends in levels:
-            a, b = bisect_left(ends, low), bisect_right(ends, high)
-            best = None
-            for e in ends[a:b]:
-                bad = 0
-                if inner:
-                    if e in inner:
-                        continue
-                    bad = int((e - overlap) in inner)
-                key = (bad, abs(e - target), e)
-                if best is None or key < best:
-                    best = key
-            if best is not None:
-                cut = best[2]
-                break
+        cut = _strongest(low, high, target, overlap, levels, inner)
+        if cut is None:
+            cut = _strongest(least, most, target, overlap, levels, inner)
+        if cut is None and _strongest(start + overlap + 1, most, target, overlap, levels, inner) is not None:
+            return None
         if cut is None:
             at = min(max(round(target), low), high)
             around = sorted(range(low, high + 1), key=lambda e: abs(e - at)) if inner else [at]

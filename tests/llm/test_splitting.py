@@ -4,7 +4,7 @@ import regex
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from procgraph.llm.splitting import split_oversized, split_points
+from procgraph.llm.splitting import BOUNDARIES, split_oversized, split_points
 
 CLUSTERED = "a👷‍♀️é⚠️🇩🇪 b.\n"
 
@@ -57,3 +57,23 @@ def test_operator(spark):
     joined = pieces[0][1] + "".join(p[50:] for _, p in pieces[1:])
     assert joined == long.strip(" \t\r\n") and all(len(p) <= 500 for _, p in pieces)
     assert split_oversized(df.where("false"), "id", "text").count() == 0
+
+
+def hard_cuts(text, limit, overlap):
+    """Cuts at no boundary although one lies where the piece could have ended."""
+    ends = {m.end() for p in BOUNDARIES for m in p.finditer(text)}
+    spans = check(text, limit, overlap)[:-1]
+    return [(a, b) for a, b in spans if b not in ends and any(a + overlap < e <= a + limit for e in ends)]
+
+
+def test_a_piece_more_rather_than_a_cut_inside_a_word():
+    text = "Overheating bearings shorten maintenance intervals considerably. " * 40
+    for n in [*range(501, 520), 940, 948, 950, 1397, 1398, 1399, 1400, 1850, 2300]:
+        assert not hard_cuts(text[:n], 500, 50)
+    assert len(check("x" * 1400, 500, 50)) == 3  # without boundaries the least number stays
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.text(alphabet="abcdef ", min_size=1, max_size=900), st.integers(30, 120))
+def test_words_stay_whole_where_they_can(text, limit):
+    assert not hard_cuts(text, limit, limit // 5)
