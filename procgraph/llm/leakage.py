@@ -290,6 +290,7 @@ def reparameterised(
     least: float = 0.5,
     item_lang: str | None = None,
     tokens_by_lang: dict[str, int] | None = None,
+    occurrences: bool = False,
 ) -> DataFrame:
     """(key, item key, part, windows, changed): documents that hold at least least
     of the template windows (of tokens template characters) of an item's text in
@@ -297,7 +298,9 @@ def reparameterised(
 
     changed counts the differing slots; 0 means a copy with equal values.  Items
     in a language of tokens_by_lang have windows of that many; a text with a
-    shorter template is one window.
+    shorter template is one window.  With occurrences a text that a document holds
+    more than once is judged at each place by itself, and one good place is
+    enough; without, the slots of all places together must be consistent.
     """
     owners, folded, needs = [], [], []
     for item, lang, *parts in held_out(items, item_key, item_texts, item_lang):
@@ -353,14 +356,15 @@ def reparameterised(
                     theirs, mine = np.repeat(i, times), at[which]
                     doc = docs_here.text_of(docs_here.start[theirs])
                     part = known.text_of(known.start[mine])
-                    hits = pd.DataFrame({"d": doc, "t": part, "m": mine, "h": theirs})
-                    for (d, t), g in hits.groupby(["d", "t"]):
-                        share = g["m"].nunique()
-                        if share < least * sizes[t]:
-                            continue
-                        changed = slots_changed(docs_here, known, g, width)
-                        if changed is not None:
-                            rows[numbers[d], t] = max(rows.get((numbers[d], t), (0, 0)), (share, changed))
+                    hits = pd.DataFrame({"d": doc, "t": part, "o": theirs - mine, "m": mine, "h": theirs})
+                    for by in [["d", "t"], ["d", "t", "o"]][: 1 + occurrences]:
+                        for (d, t, *_), g in hits.groupby(by):
+                            share = g["m"].nunique()
+                            if share < least * sizes[t]:
+                                continue
+                            changed = slots_changed(docs_here, known, g, width)
+                            if changed is not None:
+                                rows[numbers[d], t] = max(rows.get((numbers[d], t), (0, 0)), (share, changed))
             yield pd.DataFrame(
                 [(ids[n], *owners[t], *found) for (n, t), found in rows.items()],
                 columns=[key, item_key, "part", "windows", "changed"],

@@ -132,7 +132,7 @@ def p9_templates(spark: SparkSession, d: str) -> DataFrame:
     """Documents that hold an item with other numbers, names or units."""
     return leakage.reparameterised(
         read(spark, d, "documents"), "doc_id", "text", read(spark, d, "eval_items"), "item_id", ["question", "passage"],
-        TOKENS, item_lang="lang", tokens_by_lang=TOKENS_BY_LANG,
+        TOKENS, item_lang="lang", tokens_by_lang=TOKENS_BY_LANG, occurrences=True,
     )
 
 

@@ -79,3 +79,13 @@ def test_chinese_questions_have_windows_of_their_own(spark, collect):
     for more in ({"item_lang": "lang", "tokens_by_lang": {"zh": 16}}, {}):  # without, the text is one window
         got = reparameterised(docs, "doc_id", "text", items, "item_id", ["question"], **more)
         assert collect(got, "doc_id", "item_id", "changed") == [(1, 1, 3), (4, 1, 0)]
+
+
+def test_each_occurrence_is_judged_by_itself(spark, collect):
+    p = ITEMS[0][3]
+    one, two = p.replace("AG-8466", "XX-1111"), p.replace("AG-8466", "YY-2222").replace("652", "17")
+    docs = [(1, p + " " + one), (2, one + " and then " + two), (3, "nothing here"), (4, p.replace("AG-8466", "BL-9990"))]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    items = spark.createDataFrame(ITEMS, "item_id long, lang string, question string, passage string")
+    got = reparameterised(df, "doc_id", "text", items, "item_id", ["passage"], occurrences=True)
+    assert sorted({r[0] for r in collect(got, "doc_id")}) == [1, 2]  # in 4 two names have become one
