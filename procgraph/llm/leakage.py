@@ -5,7 +5,8 @@ numbers with their units and equipment names become typed placeholders; hashes
 of template windows are joined with those of the held-out items; and a
 candidate must have consistent slots.  Equal slots are extended to the whole
 shared run, which is compared character by character; slots that map one to one
-onto other values are a re-parameterised copy.
+onto other values are a re-parameterised copy.  For these a name is a code of
+letters and digits with the words before it, back to a function word.
 
 The held-out items are a fixed small table: their windows travel as one
 broadcast, checked against MAX_ITEM_CHARS.  The corpus is read once and never
@@ -23,6 +24,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from ..session import filled
+from .pairs import FUNCTION
+from .terminal import CJK
 
 #: More held-out text than this is refused: it would no longer fit a broadcast.
 MAX_ITEM_CHARS = 20_000_000
@@ -41,6 +44,73 @@ _ODD = 0x9E3779B97F4A7C15 | 1
 _BITS = 22
 BLOCK_CHARS = 1_500_000
 
+#: A code or a number with its unit, in NFKC and lower case.
+SLOT = re.compile(
+    r"(?P<code>(?<![a-z0-9])(?:[a-z]{1,6}[-_/]?\d+[a-z]?|[a-z]{2}[\W_]{0,2}\d{4})(?![a-z0-9]))"
+    r"|\d+(?:[.,]\d+)*(?:\s*(?:kpa|bar|rpm|ppm|mm/s|l/min|μs/cm|nm|kw|kg|mm|°\s?c|%|c|a)(?![a-z]))?"
+)
+CLAUSE = re.compile(r"[.,;:!?()|。，；：、！？（）]")
+WORD = re.compile(rf"[{CJK}]+|(?:(?![{CJK}])[^\W\d_])+")
+#: Words and characters that are no part of a name; "de" may join two words of one.
+NO_NAME = (FUNCTION | frozenset("as so than has had no one now into until nobody while once over as como tras si".split())) - {"de"}
+NO_NAME_CJK = re.compile("[给和把到有当中由在与对从使让是的向往将被用而只要若如]")
+TEMPLATE = re.compile(r"[^\w\x02\x03]|_")
+
+
+def template(text: str) -> tuple[str, list[str], list[str]]:
+    """The text folded with NAME or QUANTITY for each slot; the slots' values (of
+    a name only its code) and whole texts."""
+    text = unicodedata.normalize("NFKC", text)
+    if "<" in text:
+        text = TAG.sub("", text)
+    text = text.lower().replace("\x02", " ").replace("\x03", " ")
+    out, values, slots, done = [], [], [], 0
+    for m in SLOT.finditer(text):
+        begin, is_name = m.start(), m["code"] is not None
+        if is_name:
+            cut = done
+            for c in CLAUSE.finditer(text, done, begin):
+                cut = c.end()
+            for w in reversed(list(WORD.finditer(text, cut, begin))):
+                if "\u3040" <= w[0][0]:
+                    last = max((c.end() for c in NO_NAME_CJK.finditer(w[0])), default=0)
+                    begin = w.start() + last if last < len(w[0]) else begin
+                    if last:
+                        break
+                elif w[0] in NO_NAME:
+                    break
+                else:
+                    begin = w.start()
+        out += [text[done:begin], chr(NAME if is_name else QUANTITY)]
+        values.append(OTHER.sub("", m[0]) if is_name else re.sub(r"\s", "", m[0]))
+        slots.append(re.sub(r"[\W_]+", "", text[begin : m.end()]) if is_name else values[-1])
+        done = m.end()
+    return TEMPLATE.sub("", "".join([*out, text[done:]])), values, slots
+
+
+class Templates:
+    """Templates end to end and their rolling hashes; every character is a token."""
+
+    def __init__(self, texts: list[str]):
+        code = np.frombuffer("\x01".join(texts + [""]).encode("utf-32-le"), np.uint32)
+        self.begins = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])]).astype(np.int64)
+        self.slot = (code == NAME) | (code == QUANTITY)
+        self.separator = code == SEPARATOR
+        up, self.down = powers(len(code) + 1)
+        with np.errstate(over="ignore"):
+            self._code = np.concatenate([[np.uint64(0)], np.cumsum(code.astype(np.uint64) * up[: len(code)])])
+
+    def windows(self, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and hashes of the windows of width tokens that lie within one text."""
+        past = np.concatenate([[0], np.cumsum(self.separator)])
+        i = np.arange(max(0, len(self.separator) - width + 1))
+        i = i[past[i + width] == past[i]]
+        with np.errstate(over="ignore"):
+            return i, mixed((self._code[i + width] - self._code[i]) * self.down[i] + np.uint64(width))
+
+    def text_of(self, at: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.begins, at, "right") - 1
+
 
 def fold(text: str) -> str:
     """NFKC, without markup tags, lower case, letters and digits only."""
@@ -390,3 +460,128 @@ def slots_changed(docs: Folded, known: Folded, hits: pd.DataFrame, tokens: int)
             if a != b:
                 changed.add(m + k)
     return len(changed)
+
+
+def template_runs(
+    docs: DataFrame,
+    key: str,
+    text: str,
+    items: DataFrame,
+    item_key: str,
+    item_texts: list[str],
+    item_lang: str | None = None,
+    tokens: int = 40,
+    tokens_by_lang: dict[str, int] | None = None,
+) -> DataFrame:
+    """(key, item key, part, windows, changed): documents that hold at least tokens
+    template characters of an item's text in one run, in whole or in part, with
+    slots that map one to one onto other values.
+
+    windows counts those of the longest such run, changed its differing slots; 0
+    means equal values.  Items in a language of tokens_by_lang need that many; of
+    a shorter template all.  Texts of nothing but slots are left out.
+    """
+    owners, known, needs = [], [], []
+    for item, lang, *parts in held_out(items, item_key, item_texts, item_lang):
+        need = (tokens_by_lang or {}).get((lang or "").strip().lower(), tokens)
+        for name, part in zip(item_texts, parts):
+            t = template(part or "")
+            if t[0].strip("\x02\x03"):
+                owners.append((item, name))
+                known.append(t)
+                needs.append(min(need, len(t[0])))
+    kinds = docs.schema[key].dataType.simpleString(), items.schema[item_key].dataType.simpleString()
+    schema = f"`{key}` {kinds[0]}, `{item_key}` {kinds[1]}, part string, windows long, changed long"
+    if not known:
+        return docs.sparkSession.createDataFrame([], schema)
+    joined, need = Templates([t for t, _, _ in known]), np.array(needs, np.int64)
+    levels = []
+    for width in sorted(set(needs)):
+        i, h = joined.windows(width)
+        keep = need[joined.text_of(i)] == width
+        i, h = i[keep], h[keep]
+        order = np.argsort(h, kind="stable")
+        levels.append((width, h[order], i[order]))
+    shared = docs.sparkSession.sparkContext.broadcast((known, joined.begins, levels))
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known, begins, levels = shared.value
+        filters = []
+        for _, hashes, _ in levels:
+            seen = np.zeros(1 << _BITS, bool)
+            seen[hashes >> np.uint64(64 - _BITS)] = True
+            filters.append(seen)
+        places = [slot_places(t) for t, _, _ in known]
+        longest = max(len(t) for t, _, _ in known) + 100
+        for pdf in batches:
+            ids = pdf["k"].tolist()
+            theirs = [template(t) if t else ("", [], []) for t in pdf["t"]]
+            slots_of: dict[int, np.ndarray] = {}
+            rows: dict[tuple[int, int], tuple[int, int]] = {}
+            for numbers, offsets, pieces in blocks([t for t, _, _ in theirs], longest):
+                here = Templates(pieces)
+                for (width, hashes, at), seen in zip(levels, filters):
+                    i, h = here.windows(width)
+                    near = seen[h >> np.uint64(64 - _BITS)]
+                    i, h = i[near], h[near]
+                    a, b = np.searchsorted(hashes, h, "left"), np.searchsorted(hashes, h, "right")
+                    times = b - a
+                    if not times.sum():
+                        continue
+                    m = at[np.repeat(a - np.concatenate([[0], np.cumsum(times)[:-1]]), times) + np.arange(times.sum())]
+                    p = np.repeat(i, times)
+                    order = np.lexsort((p, p - m))
+                    m, p = m[order], p[order]
+                    d, t = here.text_of(p), np.searchsorted(begins, m, "right") - 1
+                    new = np.flatnonzero((np.diff(m) != 1) | (np.diff(p) != 1) | (np.diff(t) != 0) | (np.diff(d) != 0)) + 1
+                    first, last = np.concatenate([[0], new]), np.concatenate([new, [len(m)]]) - 1
+                    for f, z in zip(first.tolist(), last.tolist()):
+                        n, k = numbers[d[f]], int(t[f])
+                        if n not in slots_of:
+                            slots_of[n] = slot_places(theirs[n][0])
+                        q, o = int(m[f] - begins[k]), int(p[f] - here.begins[d[f]]) + offsets[d[f]]
+                        size = int(m[z] - m[f]) + width
+                        found = consistent(known[k], places[k], q, theirs[n], slots_of[n], o, size, width)
+                        old = rows.get((n, k), (0, 0))
+                        if found and (found[0], -found[1]) > (old[0], -old[1]):
+                            rows[n, k] = found
+            yield pd.DataFrame(
+                [(ids[n], *owners[t], *found) for (n, t), found in rows.items()],
+                columns=[key, item_key, "part", "windows", "changed"],
+            )
+
+    return docs.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").alias("t")).mapInPandas(filled(scan), schema)
+
+
+def slot_places(t: str) -> np.ndarray:
+    """Places of the slots in a template."""
+    return np.array([i for i, c in enumerate(t) if c in "\x02\x03"], np.int64)
+
+
+def consistent(known, mine, q: int, doc, theirs, o: int, size: int, width: int) -> tuple[int, int] | None:
+    """(windows, changed) of the longest stretch of equal templates known[q:q+size]
+    and doc[o:o+size] whose slots map one to one, if it holds a window."""
+    a, b = np.searchsorted(mine, q), np.searchsorted(mine, q + size)
+    c = int(np.searchsorted(theirs, o))
+    there: dict[str, tuple[str, int]] = {}
+    back: dict[str, tuple[str, int]] = {}
+    best, begin, changed = None, 0, []
+    for k, place in enumerate((mine[a:b] - q).tolist()):
+        x, y = known[1][a + k], doc[1][c + k]
+        clash = -1  # the last slot that this one contradicts
+        for left, right, seen in ((x, y, there), (y, x, back)):
+            if left in seen and seen[left][0] != right:
+                clash = max(clash, seen[left][1])
+        if clash >= begin:
+            best = longer(best, begin, place, width, changed)
+            begin = clash + 1
+        there[x], back[y] = (y, place), (x, place)
+        if known[2][a + k] != doc[2][c + k]:
+            changed.append(place)
+    return longer(best, begin, size, width, changed)
+
+
+def longer(best, begin: int, end: int, width: int, changed: list[int]) -> tuple[int, int] | None:
+    if end - begin < width or best and best[0] >= end - begin - width + 1:
+        return best
+    return end - begin - width + 1, sum(begin <= p < end for p in changed)

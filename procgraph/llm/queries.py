@@ -129,10 +129,10 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_templates(spark: SparkSession, d: str) -> DataFrame:
-    """Documents that hold an item with other numbers, names or units."""
-    return leakage.reparameterised(
+    """Documents that hold an item, in whole or in part, with other numbers, names or units."""
+    return leakage.template_runs(
         read(spark, d, "documents"), "doc_id", "text", read(spark, d, "eval_items"), "item_id", ["question", "passage"],
-        TOKENS, item_lang="lang", tokens_by_lang=TOKENS_BY_LANG, occurrences=True,
+        "lang", TOKENS, TOKENS_BY_LANG,
     )
 
 

@@ -1,7 +1,7 @@
 import random
 
 from procgraph.llm import leakage
-from procgraph.llm.leakage import fold, leaked_runs, reparameterised
+from procgraph.llm.leakage import fold, leaked_runs, reparameterised, template_runs
 
 ITEMS = [
     (1, "en", "How long must gear reducer ZS-4270 rest?", "Nobody may enter the pit below bag filter AG-8466 until ink cartridge BL-9990 shows 652 mm twice, 47 minutes apart."),
@@ -89,3 +89,24 @@ def test_each_occurrence_is_judged_by_itself(spark, collect):
     items = spark.createDataFrame(ITEMS, "item_id long, lang string, question string, passage string")
     got = reparameterised(df, "doc_id", "text", items, "item_id", ["passage"], occurrences=True)
     assert sorted({r[0] for r in collect(got, "doc_id")}) == [1, 2]  # in 4 two names have become one
+
+
+def test_one_sentence_with_other_machines_and_codes(spark, collect):
+    one = "Unlike the older layout, hoist QX-2699 now vents into ink cartridge TK-5622, so an operator may wait 85 seconds."
+    rest = " ".join(f"In run {k} the crew of shift {k} left everything as it had been found, {w} included." for k, w in enumerate(["oil", "fuel", "air"]))
+    items = spark.createDataFrame([(1, "en", one + " " + rest)], "item_id long, lang string, passage string")
+    other = one.replace("hoist QX-2699", "storage silo P-101").replace("ink cartridge TK-5622", "V-7").replace("85", "9.5")
+    merged = one.replace("hoist QX-2699", "storage silo P-101").replace("ink cartridge TK-5622", "silo P-101")
+    docs = [(1, "Note: " + other), (2, merged), (3, one + " " + one.replace("QX-2699", "AB-1")), (4, "nothing here")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = template_runs(df, "doc_id", "text", items, "item_id", ["passage"], "lang", 50)
+    assert collect(got, "doc_id", "changed") == [(1, 3), (3, 0)]  # in 2 two names have become one
+
+
+def test_chinese_machine_names_of_another_length(spark, collect):
+    q = "当缓冲罐 SC-1587连续68分钟处于38.8 %时，液位计 DR-8356上的哪一个示值说明班组可以放行？"
+    other = q.replace("缓冲罐 SC-1587", "皮带输送机 HX-22").replace("液位计 DR-8356", "喷嘴 V-7")
+    docs = spark.createDataFrame([(1, "班前会。" + other), (2, "处于38.8 %时")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "zh", q)], "item_id long, lang string, question string")
+    got = template_runs(docs, "doc_id", "text", items, "item_id", ["question"], "lang", 40, {"zh": 16})
+    assert collect(got, "doc_id", "changed") == [(1, 2)]
