@@ -3,9 +3,10 @@
 The model is fitted without labels.  Inside a text every sentence end and line
 end shows how complete passages end, and every other position shows how they do
 not; so for the last tokens of a text the share of ends among all inner
-occurrences of those tokens tells whether the text breaks off.  It is a
-classifier fitted on a bounded sample (`fit_rows` texts, at random by hash); it
-is applied to every text.
+occurrences of those tokens tells whether the text breaks off.  The contexts and
+first words are a classifier fitted on a bounded sample (`fit_rows` texts, at
+random by hash); words, word beginnings and the sources' baselines are counted
+over all texts.  It is applied to every text.
 """
 
 from __future__ import annotations
@@ -89,16 +90,68 @@ def context_key(seq: list[str], order: int) -> int:
     return h >> 1
 
 
-def evidence(texts: list[str], sources: list[str]) -> dict[str, np.ndarray]:
-    """k, e, a: key, ends and all occurrences of contexts, first words, words, word
-    beginnings and sources.  Contexts are hashed for all positions at once."""
+def last_part(text: str) -> tuple[str, str]:
+    """The last line of a text without its marker, and the passage it ends in."""
+    line = text.splitlines()[-1].strip()
+    body = MARKER.sub("", line, count=1) if MARKER.match(line) else line
+    parts = [p for p in SENTENCE.split(body) if p]
+    return body, TAG.sub("", parts[-1]) if parts else ""
+
+
+def visible(text: str) -> str:
+    """The text without white space and invisible characters at its end."""
+    return text.rstrip().rstrip("​﻿‎‏").rstrip()
+
+
+def frequencies(texts: list[str], sources: list[str]) -> dict[str, np.ndarray]:
+    """k, e, a, asked: counts of words, word beginnings and sources; asked marks
+    sources and the words that a text ends in, the only ones that are looked up."""
+    raw: Counter = Counter()
     ends: Counter = Counter()
     seen: Counter = Counter()
+    last: Counter = Counter()
+    for text, source in zip(texts, sources):
+        if not text:
+            continue
+        for passage, stopped, inner in passages(text):
+            t = TOKEN.findall(passage.rstrip(CLOSERS + " ").rstrip(STOPS) if stopped else passage)
+            if not t:
+                continue
+            if len(t) >= 6:
+                seen[source or ""] += 1
+                ends[source or ""] += stopped
+            raw.update(t)
+            if not (stopped or inner):
+                raw[t[-1]] -= 1
+        if shown := visible(text):
+            last.update(tokens(last_part(shown)[1])[-1:])
     words: Counter = Counter()
+    for w, n in raw.items():
+        if n:
+            words[tokens(w)[0]] += n
+    begins: Counter = Counter()
+    for w, n in words.items():
+        if len(w) > 1 and (w[0].isalpha() or w[0] == "@"):
+            for i in range(1, len(w)):
+                begins[w[:i]] += n
+    rows = [(key("b", x), ends[x], n, 1) for x, n in seen.items()]
+    rows += [(key("w", w), n, n, int(w in last)) for w, n in words.items()]
+    rows += [(key("p", b), n, n, int(b in last)) for b, n in begins.items()]
+    rows += [(key("w", w), 0, 0, 1) for w in last.keys() - words.keys()] + [(key("p", w), 0, 0, 1) for w in last.keys() - begins.keys()]
+    rows += [(key("f", w), n, n, 1) for w, n in last.items()]
+    table = np.array(rows, np.int64).reshape(-1, 4)
+    return {"k": table[:, 0], "e": table[:, 1], "a": table[:, 2], "asked": table[:, 3]}
+
+
+def evidence(texts: list[str]) -> dict[str, np.ndarray]:
+    """k, e, a: key, ends and all occurrences of contexts and first words.
+    Contexts are hashed for all positions at once."""
+    ends: Counter = Counter()
+    seen: Counter = Counter()
     stream: list[str] = []
     inside: list[int] = []  # places from the passage's BEGIN
     last: list[int] = []  # 1 where a passage ends, -1 where its end is the text's and has no stop
-    for text, source in zip(texts, sources):
+    for text in texts:
         if not text:
             continue
         for passage, stopped, inner in passages(text):
@@ -109,22 +162,12 @@ def evidence(texts: list[str], sources: list[str]) -> dict[str, np.ndarray]:
                 if n <= len(t) or n == STARTS[-1]:
                     seen[("s", *t[:n])] += 1
                     ends[("s", *t[:n])] += stopped
-            if len(t) >= 6:
-                seen[("b", source or "")] += 1
-                ends[("b", source or "")] += stopped
             whole = stopped or inner
-            words.update(t if whole else t[:-1])
             stream.append(BEGIN)
             stream += t
             inside += range(len(t) + 1)
             last += [0] * len(t) + [1 if whole else -1]
-    begins: Counter = Counter()
-    for w, n in words.items():
-        if len(w) > 1 and (w[0].isalpha() or w[0] == "@"):
-            for i in range(1, len(w)):
-                begins[w[:i]] += n
     rows = [(key(*c), ends.get(c, 0), n) for c, n in seen.items()]
-    rows += [(key("w", w), n, n) for w, n in words.items()] + [(key("p", b), n, n) for b, n in begins.items()]
     parts = [np.array(rows, np.int64).reshape(-1, 3)]
     if stream:
         hashes = {w: token_hash(w) for w in set(stream)}
@@ -177,39 +220,53 @@ class Model:
         return None
 
     def cut_word(self, word: str) -> bool:
-        """A word that is never or hardly met inside texts but begins one that is."""
+        """A word that is never or hardly met inside texts but begins one that is.
+        Words that end more texts than they begin longer words are whole."""
         if not (word[0].isalpha() or word[0] == "@"):
             return False
         longer = self.get("p", word)[1]
-        return longer > 0 and self.get("w", word)[1] <= CUT_RATIO * longer
+        return longer > 0 and longer >= self.get("f", word)[1] and self.get("w", word)[1] <= CUT_RATIO * longer
 
 
 def fit(df: DataFrame, text: str, source: str | None = None, fit_rows: int = FIT_ROWS) -> Model:
-    """Model of at most about fit_rows texts, sampled by a hash of the text.
+    """Model whose contexts come from at most about fit_rows texts, sampled by a hash
+    of the text, and whose words and sources are counted over all texts.
 
-    Counts are added inside each batch, then per key; contexts met once are
-    dropped.  What reaches the driver is bounded by the sample.
+    Counts are added inside each batch, then per key; contexts met once and words
+    that no text ends in are dropped.  What reaches the driver is bounded by the
+    sample and by the different last words.
     """
     total = df.count()
     sampled = df
     if total > fit_rows:
         sampled = df.where(F.pmod(F.xxhash64(F.col(f"`{text}`")), F.lit(1_000_000)) < int(1e6 * fit_rows / total))
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for low in range(0, len(pdf), 2000):
-                some = pdf.iloc[low : low + 2000]
-                yield pd.DataFrame(evidence(some["t"].tolist(), some["s"].tolist()))
+    def by_batch(counts):
+        def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                for low in range(0, len(pdf), 2000):
+                    some = pdf.iloc[low : low + 2000]
+                    yield pd.DataFrame(counts(*(some[c].tolist() for c in pdf)))
+
+        return filled(count)
 
     where = F.col(f"`{source}`") if source else F.lit("")
     tasks = df.sparkSession.sparkContext.defaultParallelism
-    counted = (
-        sampled.select(F.col(f"`{text}`").alias("t"), where.cast("string").alias("s"))
+    contexts = (
+        sampled.select(F.col(f"`{text}`").alias("t"))
         .repartition(tasks)  # the sample is bounded; a single input file must not make a single task
-        .mapInPandas(filled(count), "k long, e long, a long")
+        .mapInPandas(by_batch(evidence), "k long, e long, a long")
+        .withColumn("asked", F.lit(1).cast("long"))
+    )
+    words = df.select(F.col(f"`{text}`").alias("t"), where.cast("string").alias("s")).mapInPandas(
+        by_batch(frequencies), "k long, e long, a long, asked long"
+    )
+    counted = (
+        contexts.unionByName(words)
         .groupBy("k")
-        .agg(F.sum("e").alias("e"), F.sum("a").alias("a"))
-        .where("a > 1 or e > 0")
+        .agg(F.sum("e").alias("e"), F.sum("a").alias("a"), F.max("asked").alias("asked"))
+        .where("asked > 0 and (a > 1 or e > 0)")
+        .select("k", "e", "a")
         .toPandas()
     )
     return Model(*(counted[c].to_numpy("int64") for c in ("k", "e", "a")))
@@ -286,7 +343,7 @@ def breaks_off(text: str | None, model: Model, source: str | None = None) -> str
     """
     if not text:
         return None
-    t = text.rstrip().rstrip("​﻿‎‏").rstrip()
+    t = visible(text)
     if not t:
         return None
     if CUT_MARK.search(t):
@@ -304,11 +361,9 @@ def breaks_off(text: str | None, model: Model, source: str | None = None) -> str
         if not line.endswith("|") or (before.startswith("|") and line.count("|") < before.count("|")):
             return "row"
         return None
-    body = MARKER.sub("", line, count=1) if MARKER.match(line) else line
+    body, last = last_part(t)
     if not body or re.fullmatch(r"(?:[>\-*•+]+|\d+\s*[.)\-:]?)", line) and len(lines) > 1:
         return "list"
-    parts = [p for p in SENTENCE.split(body) if p]
-    last = TAG.sub("", parts[-1]) if parts else ""
     bare = last.rstrip(CLOSERS + " ")
     if bare[-1:] in STOPS and bare:
         # A full stop after a number may be a decimal point.
