@@ -3,8 +3,14 @@
 Method: a permutation index.  A bounded sample of the vectors serves as pivots;
 each vector is represented by its nearest pivots in order and posted in the
 inverted files of the first of them.  Within a file, candidates are ranked by
-the footrule distance of their permutations, and the best are reranked by the
-cosine in double precision.
+the footrule distance of their permutations, and the better half is reranked by
+the cosine in double precision.
+
+How many pivots there are and in how many files a vector is posted is measured,
+not fixed: the exact neighbours of a bounded sample of vectors are found by one
+scan against all rows, and the cheapest index that brings the wanted share of
+these pairs together is built.  So the recall does not fall as a table grows;
+where vectors have no structure the files grow instead, up to FILE_ROWS rows.
 
 Pivots are drawn from the data, so their density follows the vectors' and a
 region with a third of the rows gets a third of the files.  Exact copies share
@@ -14,6 +20,8 @@ copies cannot swell a file.  Every row is posted; nothing is capped.
 
 from __future__ import annotations
 
+import logging
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -21,13 +29,22 @@ from pyspark.sql import functions as F
 
 from ..session import broadcast_if_small, materialize
 
-#: Vectors per pivot, and the bounds on the number of pivots (the sample).
-PER_PIVOT, MIN_PIVOTS, MAX_PIVOTS = 128, 8, 16_384
-#: Inverted files that a vector is posted in, length of a permutation, candidates reranked.
-FILES, PREFIX, CANDIDATES = 6, 8, 96
-BLOCK = 512
+log = logging.getLogger(__name__)
+
+#: Bounds on the number of pivots (the sample of the index) and least vectors per pivot.
+MIN_PIVOTS, MAX_PIVOTS, PER_PIVOT = 32, 65_536, 32
+#: Vectors whose exact neighbours are looked up to choose the index.
+SAMPLE = 256
+#: Most files a vector may be posted in and most rows of a mean file.
+MAX_FILES, FILE_ROWS = 48, 65_536
+#: Length of a permutation; the sum of its weights must fit a byte.
+PREFIX = 22
+#: A file's candidates of a vector: its better half, this many at least.
+CANDIDATES = 128
+#: Measured microseconds to post a vector once, to compare a pair and to compare with a pivot.
+POST_COST, PAIR_COST, PIVOT_COST = 15.0, 0.025, 0.01
+BLOCK_PAIRS = 2_000_000
 FILES_PER_TASK = 64
-DENSE = 2048
 
 
 def sound_vectors(df: DataFrame, key: str, vector: str, dim: int) -> DataFrame:
@@ -76,119 +93,187 @@ def split_copies(rows: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
     return kept, others
 
 
-def pick_pivots(rows: DataFrame, total: int, dim: int) -> np.ndarray:
-    """Normalised pivots: a sample, by a hash of the key, of total / PER_PIVOT
-    vectors, MAX_PIVOTS at most; that bounds what comes to the driver."""
-    m = max(MIN_PIVOTS, min(MAX_PIVOTS, total // PER_PIVOT))
-    share = min(1.0, 2.0 * m / max(total, 1) + 64.0 / max(total, 1))
-    place = F.pmod(F.xxhash64("key", F.lit(1)), F.lit(1_000_000_000))
-    some = rows.where(place <= int(share * 1e9)).select("v", place.alias("p"), "key").orderBy("p", "key").limit(m)
-    table = some.select("v").toArrow()
-    flat = table.column("v").combine_chunks()
-    values = np.concatenate([c.values.to_numpy() for c in flat.chunks]) if isinstance(flat, pa.ChunkedArray) else flat.flatten().to_numpy()
-    pivots = np.asarray(values, np.float32).reshape(-1, dim)
-    return pivots / np.maximum(np.linalg.norm(pivots.astype(np.float64), axis=1), 1e-300)[:, None].astype(np.float32)
+def unit_rows(column: pa.Array, dim: int) -> np.ndarray:
+    """Normalised double vectors of an Arrow list column."""
+    v = column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim).astype(np.float64)
+    return v / np.linalg.norm(v, axis=1)[:, None]
+
+
+def pick(rows: DataFrame, seed: int, total: int, most: int, dim: int) -> tuple[list[str], np.ndarray]:
+    """Keys and normalised vectors of most rows in the order of a hash of the key;
+    most bounds what comes to the driver."""
+    share = min(1.0, 2.0 * most / max(total, 1) + 64.0 / max(total, 1))
+    place = F.pmod(F.xxhash64("key", F.lit(seed)), F.lit(1_000_000_000))
+    some = rows.where(place <= int(share * 1e9)).select(F.col("key").cast("string").alias("key"), "v", place.alias("p"))
+    table = some.orderBy("p", "key").limit(most).toArrow().combine_chunks()
+    if not table.num_rows:
+        return [], np.empty((0, dim))
+    return table.column("key").to_pylist(), unit_rows(table.column("v").combine_chunks(), dim)
+
+
+def exact_neighbours(rows: DataFrame, keys: list[str], queries: np.ndarray, k: int, least: float | None) -> tuple[np.ndarray, np.ndarray]:
+    """(query number, vector) of the k most similar others of each query, by one
+    scan of all rows; each batch keeps k of a query."""
+    dim = queries.shape[1]
+    shared = rows.sparkSession.sparkContext.broadcast((keys, queries))
+
+    def scan(batches):
+        keys, queries = shared.value
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            unit = unit_rows(batch.column(1), dim)
+            s = queries @ unit.T
+            place = {x: i for i, x in enumerate(batch.column(0).cast(pa.string()).to_pylist())}
+            for i, x in enumerate(keys):
+                if x in place:
+                    s[i, place[x]] = -2
+            best = np.argpartition(-s, min(k, s.shape[1]) - 1, axis=1)[:, :k]
+            q, c = np.repeat(np.arange(len(keys)), best.shape[1]), best.ravel()
+            good = s[q, c] >= (-1.5 if least is None else least)
+            q, c = q[good], c[good]
+            vectors = pa.array([x.tobytes() for x in unit[c]], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(q.astype(np.int32)), pa.array(s[q, c]), vectors], ["q", "s", "v"])
+
+    w = Window.partitionBy("q").orderBy(F.desc("s"), "v")
+    near = rows.select("key", "v").mapInArrow(scan, "q int, s double, v binary")
+    got = near.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k).select("q", "v").toArrow()
+    found = np.frombuffer(b"".join(got.column("v").to_pylist()), np.float64).reshape(-1, dim)
+    return got.column("q").to_numpy(), found
+
+
+def choose_index(
+    pivots: np.ndarray, queries: np.ndarray, which: np.ndarray, near: np.ndarray, total: int, recall: float
+) -> tuple[int, int, float]:
+    """(number of pivots, files, share of the sampled pairs that meet): the
+    cheapest index in which at least recall of the pairs share a file, or the one
+    in which most do."""
+    best, fallback = None, (MIN_PIVOTS, 1, -1.0)
+    m = min(MIN_PIVOTS, len(pivots))
+    while True:
+        per = max(1.0, total / m)
+        most = min(MAX_FILES, m, max(1, int(FILE_ROWS / per)))
+        p = pivots[:m].astype(np.float32)
+        a, b = (permutations(x.astype(np.float32), p, most) for x in (queries, near))
+        need = np.full(len(near), MAX_FILES + 1)
+        for low in range(0, len(near), 256):
+            equal = a[which[low : low + 256]][:, :, None] == b[low : low + 256][:, None, :]
+            later = np.maximum(np.arange(most)[:, None], np.arange(most)[None, :])
+            need[low : low + 256] = np.where(equal, later, MAX_FILES).min((1, 2), initial=MAX_FILES) + 1
+        for files in range(1, most + 1):
+            met = float((need <= files).mean()) if len(near) else 1.0
+            cost = files * POST_COST + files * files * per * PAIR_COST + m * PIVOT_COST
+            if met > fallback[2]:
+                fallback = (m, files, met)
+            if met >= recall and files >= min(2, m):
+                if best is None or cost < best[0]:
+                    best = (cost, m, files, met)
+                break
+        if m >= min(len(pivots), max(MIN_PIVOTS, total // PER_PIVOT)):
+            break
+        m = min(2 * m, len(pivots))
+    return best[1:] if best else fallback
 
 
 def permutations(vectors: np.ndarray, pivots: np.ndarray, prefix: int) -> np.ndarray:
     """Indices of the prefix most similar pivots of each vector, in order."""
-    out = np.empty((len(vectors), prefix), np.int16)
-    for low in range(0, len(vectors), 4096):
-        s = vectors[low : low + 4096] @ pivots.T
+    out = np.empty((len(vectors), prefix), np.int32)
+    for low in range(0, len(vectors), 1024):
+        s = vectors[low : low + 1024] @ pivots.T
         if prefix < s.shape[1]:
             near = np.argpartition(-s, prefix - 1, axis=1)[:, :prefix]
         else:
             near = np.broadcast_to(np.arange(s.shape[1]), s.shape)
         order = np.lexsort((near, -np.take_along_axis(s, near, 1)), axis=1)
-        out[low : low + 4096] = np.take_along_axis(near, order, 1)
+        out[low : low + 1024] = np.take_along_axis(near, order, 1)
     return out
 
 
-def footrule_agreement(perms: np.ndarray, low: int, high: int) -> np.ndarray:
-    """Agreement of rows low..high with all rows: with weights prefix - rank, the
-    sum of the smaller weights of shared pivots.  The footrule distance of two
-    prefixes is a constant less twice this, so the greatest agreement is the
-    least footrule distance.  Counted over the rows that share a pivot."""
-    n, prefix = perms.shape
-    weight = np.tile(np.arange(prefix, 0, -1, dtype=np.float32), n)
-    row = np.repeat(np.arange(n), prefix)
-    order = np.argsort(perms.ravel(), kind="stable")
-    pivot, row, weight = perms.ravel()[order], row[order], weight[order]
-    mine = np.flatnonzero((row >= low) & (row < high))
-    first = np.searchsorted(pivot, pivot[mine], "left")
-    size = np.searchsorted(pivot, pivot[mine], "right") - first
-    total = int(size.sum())
-    other = np.repeat(first - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(total)
-    flat = np.repeat((row[mine] - low) * n, size) + row[other]
-    shared = np.minimum(np.repeat(weight[mine], size), weight[other])
-    return np.bincount(flat, shared, (high - low) * n).reshape(high - low, n).astype(np.float32)
-
-
-def search_file(pivot: int, keys: np.ndarray, vectors: np.ndarray, perms: np.ndarray, k: int, least: float | None):
+class Weights:
+    """Permutations of a file as weights: the first pivot weighs prefix, the last
+    1, others 0.  The sum of the smaller weights of two vectors is their
+    agreement; the footrule distance of two prefixes is a constant less twice
+    this, so the greatest agreement is the least footrule distance."""
+
+    def __init__(self, perms: np.ndarray):
+        known, local = np.unique(perms, return_inverse=True)
+        self.local = local.reshape(perms.shape)
+        self.scale = np.arange(perms.shape[1], 0, -1, dtype=np.uint8)[:, None]
+        self.by_pivot = np.zeros((len(known), len(perms)), np.uint8)
+        self.by_pivot[self.local.ravel(), np.repeat(np.arange(len(perms)), perms.shape[1])] = np.tile(self.scale[:, 0], len(perms))
+
+    def agreement(self, row: int) -> np.ndarray:
+        """Agreement of a row with all rows."""
+        return np.minimum(self.by_pivot[self.local[row]], self.scale).sum(0, dtype=np.uint8)
+
+
+def search_file(keys: np.ndarray, vectors: np.ndarray, perms: np.ndarray, k: int, least: float | None):
     """(left, right, similarity) arrays of the k best of each posted vector among
-    those pairs that meet in no file of a smaller pivot."""
+    its candidates in this file."""
     n = len(keys)
     exact = vectors.astype(np.float64)
     exact /= np.linalg.norm(exact, axis=1)[:, None]
     rank = np.empty(n, np.int64)
     rank[np.argsort(keys, kind="stable")] = np.arange(n)
-    posted = perms[:, :FILES]
+    wanted = max(CANDIDATES, n // 2)
+    weights = Weights(perms) if n > wanted + 1 else None
     lefts, rights, sims = [], [], []
-    for low in range(0, n, BLOCK):
-        high = min(n, low + BLOCK)
-        agreement = footrule_agreement(perms, low, high)
-        agreement[np.arange(high - low), np.arange(low, high)] = -1
-        if n > CANDIDATES + 1:
-            cand = np.argpartition(-agreement, CANDIDATES - 1, axis=1)[:, :CANDIDATES]
-        else:
-            cand = np.broadcast_to(np.arange(n), (high - low, n))
-        if n <= DENSE:  # one product of matrices is cheaper than gathering the candidates
-            s = np.take_along_axis(exact[low:high] @ exact.T, cand, 1)
+    step = max(1, BLOCK_PAIRS // n)
+    for low in range(0, n, step):
+        high = min(n, low + step)
+        s = np.round(exact[low:high] @ exact.T, 12)  # so that copies tie whatever the order of summation
+        s[np.arange(high - low), np.arange(low, high)] = -2
+        if weights is not None:
+            for i in range(low, high) if least is None else low + np.flatnonzero((s >= least).any(1)):
+                agreement = weights.agreement(i)
+                above = np.cumsum(np.bincount(agreement, minlength=256)[::-1])
+                limit = 255 - int(np.searchsorted(above, wanted + 1))  # rows as near as the last candidate count too
+                s[i - low, agreement < limit] = -2
+        if least is None:
+            best = np.argpartition(-s, min(k, n - 1), axis=1)[:, : k + 1] if n > k + 1 else np.broadcast_to(np.arange(n), s.shape)
+            floor = np.take_along_axis(s, best, 1).min(1) if n > k + 1 else np.full(high - low, -1.5)
+            i, c = np.nonzero(s >= np.maximum(floor, -1.5)[:, None])
         else:
-            s = np.einsum("bd,bcd->bc", exact[low:high], exact[cand])
-        s = np.round(s, 12)  # so that copies tie whatever the order of summation
-        good = cand != np.arange(low, high)[:, None]
-        if least is not None:
-            good &= s >= least
-        i, c = np.nonzero(good)
-        mine, theirs = posted[low + i], posted[cand[i, c]]
-        common = (mine[:, :, None] == theirs[:, None, :]).any(2)
-        owned = np.where(common, mine, np.int16(32767)).min(1, initial=32767) == pivot
-        i, c = i[owned], c[owned]
-        rows = np.unique(i)
-        best = np.full(s.shape, -np.inf)
-        best[i, c] = s[i, c]
-        best, right = best[rows], cand[rows]
-        order = np.lexsort((rank[right], -best), axis=1)[:, :k]
-        best, right = np.take_along_axis(best, order, 1), np.take_along_axis(right, order, 1)
-        i, c = np.nonzero(best > -np.inf)
-        lefts.append(rows[i] + low)
-        rights.append(right[i, c])
-        sims.append(best[i, c])
-    left, right = np.concatenate(lefts), np.concatenate(rights)
-    return left, right, np.concatenate(sims)
+            i, c = np.nonzero(s >= least)
+        value = s[i, c]
+        order = np.lexsort((rank[c], -value, i))
+        i, c, value = i[order], c[order], value[order]
+        place = np.arange(len(i)) - np.searchsorted(i, i, "left")
+        top = place < k
+        lefts.append(i[top] + low)
+        rights.append(c[top])
+        sims.append(value[top])
+    return np.concatenate(lefts), np.concatenate(rights), np.concatenate(sims)
 
 
 def most_similar(
-    df: DataFrame, key: str, vector: str, k: int = 5, dim: int = 64, min_similarity: float | None = None
+    df: DataFrame, key: str, vector: str, k: int = 5, dim: int = 64, min_similarity: float | None = None, recall: float = 0.97
 ) -> DataFrame:
     """(left, right, similarity, place): the k most similar other keys of every
     key with a sound vector, equal similarity going to the smaller key.
 
     With min_similarity only pairs at least that similar are kept, which cannot
     change the places of those that are.  Approximate: a pair is found if the two
-    vectors share one of their first pivots.  Empty tables and single vectors
-    give no row.
+    vectors share one of their first pivots, which holds for at least recall of
+    the sampled pairs unless MAX_FILES or FILE_ROWS forbid (then a warning names
+    the share), and if one is in the better half of the file for the other.
+    Empty tables and single vectors give no row.
     """
-    rows = sound_vectors(df, key, vector, dim)
-    total = df.count()  # from the file footers: enough to size the sample
+    rows = materialize(sound_vectors(df, key, vector, dim))
     kept, copies = split_copies(rows, k)
-    pivots = pick_pivots(kept, total, dim)
-    prefix = min(PREFIX, len(pivots))
-    if not prefix:
+    total = rows.count()
+    names, pivots = pick(kept, 1, total, min(MAX_PIVOTS, max(MIN_PIVOTS, total // PER_PIVOT)), dim)
+    if not names:
         return copies.withColumn("place", F.lit(0)).where("false")
+    asked, queries = pick(kept, 2, total, SAMPLE, dim)
+    which, near = exact_neighbours(kept, asked, queries, k, min_similarity)
+    m, files, met = choose_index(pivots, queries, which, near, total, recall)
+    if met < recall:
+        log.warning("only %.3f of the nearest pairs of %s share a file", met, key)
+    pivots = pivots[:m].astype(np.float32)
+    prefix = min(max(PREFIX, files), m)
+    kept_prefix = min(PREFIX, m)
     shared = df.sparkSession.sparkContext.broadcast(pivots)  # MAX_PIVOTS * dim * 4 bytes at most
-    files = min(FILES, prefix)
 
     def post(batches):
         for batch in batches:
@@ -200,7 +285,12 @@ def most_similar(
             at = np.repeat(np.arange(len(v)), files)
             blob = lambda a: pa.array([x.tobytes() for x in a], pa.binary()).take(pa.array(at))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(p[:, :files].ravel().astype(np.int32)), batch.column(0).cast(pa.string()).take(pa.array(at)), blob(v), blob(p)],
+                [
+                    pa.array(p[:, :files].ravel()),
+                    batch.column(0).cast(pa.string()).take(pa.array(at)),
+                    blob(v),
+                    blob(p[:, :kept_prefix].astype(np.uint16)),
+                ],
                 ["pivot", "key", "v", "p"],
             )
 
@@ -209,17 +299,18 @@ def most_similar(
     def search(table: pa.Table) -> pa.Table:
         raw = lambda c, t: np.frombuffer(b"".join(table.column(c).to_pylist()), t)
         keys = np.array(table.column("key").to_pylist(), object)
-        pivot = table.column("pivot")[0].as_py()
         left, right, s = search_file(
-            pivot, keys, raw("v", np.float32).reshape(-1, dim), raw("p", np.int16).reshape(-1, prefix), k, min_similarity
+            keys, raw("v", np.float32).reshape(-1, dim), raw("p", np.uint16).reshape(-1, kept_prefix), k, min_similarity
         )
         return pa.table({"left": pa.array(keys[left], pa.string()), "right": pa.array(keys[right], pa.string()), "similarity": s})
 
     # So many files to a task, whatever the size of the table.
-    tasks = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-len(pivots) // FILES_PER_TASK))
+    tasks = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-m // FILES_PER_TASK))
     found = posted.repartition(tasks, "pivot").groupBy("pivot").applyInArrow(search, "left string, right string, similarity double")
+    # A pair that meets in several files has one place; dropping the repeats needs no other shuffle.
     w = Window.partitionBy("left").orderBy(F.desc("similarity"), "right")
-    return found.unionByName(copies).withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
+    placed = found.unionByName(copies).withColumn("place", F.dense_rank().over(w)).where(F.col("place") <= k)
+    return placed.dropDuplicates(["left", "right"])
 
 
 def similar_pairs(directed: DataFrame) -> DataFrame:

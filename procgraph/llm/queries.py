@@ -46,9 +46,9 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 VECTORS = {"graph_nodes": "name", "text_chunks": "id", "keyword_entries": "entry_key"}
 
 
-def _nearest(spark: SparkSession, d: str, least: float | None) -> DataFrame:
+def _nearest(spark: SparkSession, d: str, least: float | None, recall: float) -> DataFrame:
     parts = [
-        neighbours.most_similar(read(spark, d, t), k, "embedding", 5, 64, least).withColumn("collection", F.lit(t))
+        neighbours.most_similar(read(spark, d, t), k, "embedding", 5, 64, least, recall).withColumn("collection", F.lit(t))
         for t, k in VECTORS.items()
     ]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
@@ -56,12 +56,12 @@ def _nearest(spark: SparkSession, d: str, least: float | None) -> DataFrame:
 
 def p3_neighbours(spark: SparkSession, d: str) -> DataFrame:
     """The 5 most similar vectors of every sound vector."""
-    return _nearest(spark, d, None).select("collection", "left", "right", F.round("similarity", 6).alias("similarity"), "place")
+    return _nearest(spark, d, None, 0.97).select("collection", "left", "right", F.round("similarity", 6).alias("similarity"), "place")
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of similarity 0.85 or more of which one is among the 5 nearest of the other."""
-    near = _nearest(spark, d, 0.85)
+    near = _nearest(spark, d, 0.85, 0.998)
     pair = [F.least("left", "right").alias("left_id"), F.greatest("left", "right").alias("right_id")]
     return near.select("collection", *pair).distinct()
 
