@@ -1,16 +1,22 @@
 """Evaluation texts leaking into training text (problem 9).
 
 Method: template canonicalisation.  Texts are folded to letters and digits;
-numbers with their units and equipment names become typed placeholders; hashes
-of template windows are joined with those of the held-out items; and a
-candidate must have consistent slots.  Equal slots are extended to the whole
-shared run, which is compared character by character; slots that map one to one
-onto other values are a re-parameterised copy.  For these a name is a code of
-letters and digits with the words before it, back to a function word.
-
-The held-out items are a fixed small table: their windows travel as one
-broadcast, checked against MAX_ITEM_CHARS.  The corpus is read once and never
-shuffled.
+numbers (and for re-parameterised copies names and units too) become typed
+placeholders; hashes of template windows are joined with those of the held-out
+items; and a candidate must have consistent slots.  Equal slots are extended to
+the whole shared run, which is compared character by character (`leaked_runs`);
+slots that map one to one onto other values are a re-parameterised copy
+(`template_runs`).
+
+For runs every digit has a placeholder of its own, so that a template is as long
+as its text and a run may begin and end inside a number.  An item has a window
+at each place; of a document only every step-th window is looked up, with a step
+so small that each run that is long enough holds one.
+
+The held-out items are small as a rule: their windows travel as one broadcast,
+checked against MAX_ITEM_CHARS, and the corpus is read once and never shuffled.
+Beyond that the windows of both sides are joined by a shuffle, and templates go
+in several broadcasts.
 """
 
 from __future__ import annotations
@@ -27,27 +33,31 @@ from ..session import filled
 from .pairs import FUNCTION
 from .terminal import CJK
 
-#: More held-out text than this is refused: it would no longer fit a broadcast.
-MAX_ITEM_CHARS = 20_000_000
-
-#: Units after a number, as they look once folded to letters and digits.
-UNITS = ("kpa", "bar", "rpm", "ppm", "mms", "lmin", "μscm", "nm", "kw", "kg", "mm", "°c", "c", "a")
+#: More held-out text than this is not broadcast at once.
+MAX_ITEM_CHARS = 4_000_000
 
 TAG = re.compile(r"<[^<>]*>")
 OTHER = re.compile(r"[\W_]+")
 
-#: Most characters of a slot that may be cut at a run's start, and looked ahead at its end.
-START_SLACK, END_SLACK = 8, 4
-
 SEPARATOR, NAME, QUANTITY = 1, 2, 3  # codes that folded text can't contain
 _ODD = 0x9E3779B97F4A7C15 | 1
 _BITS = 22
 BLOCK_CHARS = 1_500_000
 
+# Symbols of units, as they look in lower case.
+UNIT_PREFIXES = "da y z a f p n µ μ m c d h k g t".split()
+UNIT_BASES = (
+    "m g s a k mol cd hz n pa j w c v f ω wb t h lm lx bq gy sv kat l bar ev wh va ah b bit byte cal eq gauss "
+    "min d rpm ppm ppb psi ft in lb oz gal mph kn hp db ph st mil "
+    "°c °f °k ° ℃ % ‰ sec std stk uhr tage tag días día horas hora minutos minuten stunden sekunden hours hour minutes "
+    "minute seconds second days day"
+).split()
+_UNIT = "(?:(?:" + "|".join(UNIT_PREFIXES) + ")?(?:" + "|".join(sorted(map(re.escape, UNIT_BASES), key=len, reverse=True)) + ")[²³23]?)"
+
 #: A code or a number with its unit, in NFKC and lower case.
 SLOT = re.compile(
-    r"(?P<code>(?<![a-z0-9])(?:[a-z]{1,6}[-_/]?\d+[a-z]?|[a-z]{2}[\W_]{0,2}\d{4})(?![a-z0-9]))"
-    r"|\d+(?:[.,]\d+)*(?:\s*(?:kpa|bar|rpm|ppm|mm/s|l/min|μs/cm|nm|kw|kg|mm|°\s?c|%|c|a)(?![a-z]))?"
+    r"(?P<code>(?<![a-z0-9])(?:[a-z]{1,6}[-_/.]?\d+(?:[-_/.]?[a-z0-9]{1,6})?|[a-z]{2}[\W_]{0,2}\d{4})(?![a-z0-9]))"
+    rf"|\d+(?:[.,]\d+)*(?:\s*{_UNIT}(?:\s?/\s?{_UNIT})?(?![a-zµμ]))?"
 )
 CLAUSE = re.compile(r"[.,;:!?()|。，；：、！？（）]")
 WORD = re.compile(rf"[{CJK}]+|(?:(?![{CJK}])[^\W\d_])+")
@@ -135,68 +145,51 @@ def mixed(h: np.ndarray) -> np.ndarray:
         return h ^ (h >> np.uint64(32))
 
 
+def digits_masked(raw: np.ndarray) -> np.ndarray:
+    """Character codes with the placeholder QUANTITY for every digit."""
+    code = raw.astype(np.uint64)
+    code[(raw >= 48) & (raw <= 57)] = QUANTITY
+    return code
+
+
 class Folded:
-    """Folded texts end to end, their template tokens and rolling hashes."""
+    """Folded texts end to end and the rolling hashes of their templates and slots."""
 
     def __init__(self, texts: list[str]):
         self.texts = texts
         raw = np.frombuffer("\x01".join(texts + [""]).encode("utf-32-le"), np.uint32)
-        self.raw = raw
-        sizes = np.array([len(t) + 1 for t in texts], np.int64)
-        self.begins = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
-        n = len(raw)
-        digit = (raw >= 48) & (raw <= 57)
-        step = np.diff(np.concatenate([[0], digit.view(np.int8), [0]]))
-        first, last = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
-        pad = np.concatenate([np.zeros(2, np.uint32), raw, np.zeros(8, np.uint32)])
-        letter = (pad >= 97) & (pad <= 122)
-        name = (last - first == 4) & letter[first] & letter[first + 1]
-        stop = last.copy()
-        open_ = ~name
-        for unit in UNITS:
-            hit = open_.copy()
-            for j, c in enumerate(unit):
-                hit &= pad[last + 2 + j] == ord(c)
-            stop[hit] += len(unit)
-            open_ &= ~hit
-        begin = np.where(name, first - 2, first)
-        cover = np.zeros(n + 1, np.int32)
-        np.add.at(cover, begin + 1, 1)
-        np.add.at(cover, stop, -1)
-        inside = np.cumsum(cover)[:n] > 0
-        code = raw.astype(np.uint64)
-        code[begin] = np.where(name, NAME, QUANTITY)
-        self.start = np.flatnonzero(~inside)  # raw start of each template token
-        self.end = np.append(self.start[1:], n)
-        up, self.down = powers(n + 1)
+        self.sizes = np.array([len(t) for t in texts], np.int64)
+        self.begins = np.concatenate([[0], np.cumsum(self.sizes + 1)]).astype(np.int64)
+        up, self.down = powers(len(raw) + 1)
         with np.errstate(over="ignore"):
-            self._raw = np.concatenate([[np.uint64(0)], np.cumsum(raw.astype(np.uint64) * up[:n])])
-            self._code = np.concatenate([[np.uint64(0)], np.cumsum(code[self.start] * up[: len(self.start)])])
+            self._template = np.concatenate([[np.uint64(0)], np.cumsum(digits_masked(raw) * up[:-1])])
+            self._raw = np.concatenate([[np.uint64(0)], np.cumsum(raw.astype(np.uint64) * up[:-1])])
 
-    def by_span(self, width: int) -> tuple[np.ndarray, np.ndarray]:
-        """Token windows [i, j) of every i: as many whole tokens as width raw characters hold."""
-        return np.arange(len(self.start)), np.searchsorted(self.end, self.start + width, "right")
+    def starts(self, width: int, step: int = 1) -> np.ndarray:
+        """Every step-th window start of each text; windows lie within one text."""
+        counts = np.maximum(0, (self.sizes - width) // step + 1)
+        first = np.concatenate([[0], np.cumsum(counts)[:-1]])
+        return np.repeat(self.begins[:-1] - first * step, counts) + np.arange(int(counts.sum())) * step
 
-    def by_count(self, tokens: int) -> tuple[np.ndarray, np.ndarray]:
-        i = np.arange(max(0, len(self.start) - tokens + 1))
-        return i, i + tokens
-
-    def template_hash(self, i, j) -> np.ndarray:
+    def template_hash(self, i: np.ndarray, width: int) -> np.ndarray:
         with np.errstate(over="ignore"):
-            return mixed((self._code[j] - self._code[i]) * self.down[i] + (j - i).astype(np.uint64))
+            return mixed((self._template[i + width] - self._template[i]) * self.down[i] + np.uint64(width))
 
-    def slot_hash(self, i, j) -> np.ndarray:
-        a, b = self.start[i], self.end[j - 1]
+    def window_hash(self, i: np.ndarray, width: int, template: np.ndarray) -> np.ndarray:
+        """Template and slot values together."""
         with np.errstate(over="ignore"):
-            return mixed((self._raw[b] - self._raw[a]) * self.down[a] + np.uint64(7))
+            slots = (self._raw[i + width] - self._raw[i]) * self.down[i]
+        return mixed(template ^ mixed(slots + np.uint64(7)))
+
+    def text_of(self, at: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.begins, at, "right") - 1
 
-    def text_of(self, raw_at: np.ndarray) -> np.ndarray:
-        return np.searchsorted(self.begins, raw_at, "right") - 1
 
-    def whole(self, i, j) -> np.ndarray:
-        """Which windows lie within one text."""
-        a, b = self.start[i], self.end[np.maximum(j, 1) - 1] - 1
-        return (j > i) & (self.text_of(a) == self.text_of(b)) & (self.raw[b] != SEPARATOR)
+def window_of(run: int) -> tuple[int, int]:
+    """Width and step: a run of that many characters holds a whole window that
+    starts at a multiple of the step, wherever the run begins."""
+    width = max(1, 2 * run // 3)
+    return width, run - width + 1
 
 
 class Index:
@@ -204,47 +197,42 @@ class Index:
 
     def __init__(self, texts: list[str], runs: list[int]):
         self.texts, self.need = texts, np.array(runs, np.int64)
-        self.folded = Folded(texts)
+        folded = Folded(texts)
+        self.begins = folded.begins
         self.levels = []
         for run in sorted(set(runs)):
-            width = max(4, run - START_SLACK - END_SLACK)
-            i, j = self.folded.by_span(width)
-            keep = self.folded.whole(i, j)
-            keep[keep] = self.need[self.folded.text_of(self.folded.start[i[keep]])] == run
-            i, j = i[keep], j[keep]
-            template, slots = self.folded.template_hash(i, j), self.folded.slot_hash(i, j)
-            both = mixed(template ^ slots)
+            width, step = window_of(run)
+            i = folded.starts(width)
+            i = i[self.need[folded.text_of(i)] == run]
+            template = folded.template_hash(i, width)
+            both = folded.window_hash(i, width, template)
             order = np.argsort(both, kind="stable")
             seen = np.zeros(1 << _BITS, bool)
             seen[template >> np.uint64(64 - _BITS)] = True
-            self.levels.append((width, seen, np.unique(template), both[order], i[order]))
+            self.levels.append((width, step, seen, np.unique(template), both[order], i[order]))
 
     def runs_in(self, docs: Folded) -> list[tuple[int, int, int, int, int]]:
         """(document, text, start in the document, length, start in the text) of
         shared runs that are as long as the text needs."""
         out = []
-        for width, seen, templates, both, tokens in self.levels:
-            i, j = docs.by_span(width)
-            ok = j > i
-            i, j = i[ok], j[ok]
-            template = docs.template_hash(i, j)
+        for width, step, seen, templates, both, at in self.levels:
+            i = docs.starts(width, step)
+            template = docs.template_hash(i, width)
             near = seen[template >> np.uint64(64 - _BITS)]
-            i, j, template = i[near], j[near], template[near]
-            at = np.minimum(np.searchsorted(templates, template), len(templates) - 1)
-            hit = templates[at] == template
-            i, j, template = i[hit], j[hit], template[hit]
+            i, template = i[near], template[near]
+            hit = templates[np.minimum(np.searchsorted(templates, template), len(templates) - 1)] == template
+            i, template = i[hit], template[hit]
             if not len(i):
                 continue
-            pair = mixed(template ^ docs.slot_hash(i, j))  # slots must be equal too
-            low, high = np.searchsorted(both, pair, "left"), np.searchsorted(both, pair, "right")
-            times = high - low
+            pair = docs.window_hash(i, width, template)  # the slots must be equal too
+            low, times = np.searchsorted(both, pair, "left"), 0
+            times = np.searchsorted(both, pair, "right") - low
             if not times.sum():
                 continue
             which = np.repeat(low - np.concatenate([[0], np.cumsum(times)[:-1]]), times) + np.arange(times.sum())
-            mine = self.folded.start[tokens[which]]
-            theirs = docs.start[np.repeat(i, times)]
-            text, doc = self.folded.text_of(mine), docs.text_of(theirs)
-            mine, theirs = mine - self.folded.begins[text], theirs - docs.begins[doc]
+            mine, theirs = at[which], np.repeat(i, times)
+            text, doc = np.searchsorted(self.begins, mine, "right") - 1, docs.text_of(theirs)
+            mine, theirs = mine - self.begins[text], theirs - docs.begins[doc]
             keys = np.stack([doc, text, theirs - mine, theirs], 1)
             reached: dict[tuple[int, int, int], int] = {}
             for d, t, diagonal, p in keys[np.lexsort(keys.T[::-1])].tolist():
@@ -288,16 +276,22 @@ def extend(doc: str, text: str, p: int, q: int) -> tuple[int, int]:
     return a, c
 
 
-def held_out(items: DataFrame, key: str, texts: list[str], lang: str | None) -> list[tuple]:
-    """Rows of the held-out table, after a check of its size."""
+def too_large(items: DataFrame, texts: list[str]) -> int:
+    """How often the held-out texts exceed MAX_ITEM_CHARS, at least 1."""
     chars = sum((F.coalesce(F.length(F.col(f"`{t}`")), F.lit(0)) for t in texts), F.lit(0))
-    total = items.agg(F.sum(chars)).first()[0] or 0
-    if total > MAX_ITEM_CHARS:
-        raise ValueError(f"held-out texts of {total} characters are too large to broadcast")
-    cols = [F.col(f"`{key}`"), F.col(f"`{lang}`") if lang else F.lit(None), *[F.col(f"`{t}`") for t in texts]]
+    return max(1, -(-(items.agg(F.sum(chars)).first()[0] or 0) // MAX_ITEM_CHARS))
+
+
+def held_out(items: DataFrame, key: str, texts: list[str], lang: str | None) -> list[tuple]:
+    """Rows of a held-out table whose size has been checked."""
+    cols = [F.col(f"`{key}`"), F.col(f"`{lang}`") if lang else F.lit(None).cast("string"), *[F.col(f"`{t}`") for t in texts]]
     return [tuple(r) for r in items.select(*[c.alias(f"c{i}") for i, c in enumerate(cols)]).distinct().collect()]
 
 
+def needed(lang: str | None, default: int, by_lang: dict[str, int] | None) -> int:
+    return (by_lang or {}).get((lang or "").strip().lower(), default)
+
+
 def leaked_runs(
     docs: DataFrame,
     key: str,
@@ -314,19 +308,35 @@ def leaked_runs(
     the folded document.  Items in a language of run_by_lang need that many.
 
     Null and empty texts share nothing; texts of an item shorter than its run
-    cannot leak.  Repeated documents or items give rows of their own.
+    cannot leak.  Repeated documents or items give rows of their own; where the
+    items are too large for a broadcast, fully repeated documents count once.
     """
+    kinds = docs.schema[key].dataType.simpleString(), items.schema[item_key].dataType.simpleString()
+    schema = f"`{key}` {kinds[0]}, `{item_key}` {kinds[1]}, part string, start long, length long"
+    corpus = docs.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").alias("t"))
+    if too_large(items, item_texts) > 1:
+        parts = [
+            items.select(
+                F.col(f"`{item_key}`").alias("item"),
+                (F.lower(F.trim(F.col(f"`{item_lang}`"))) if item_lang else F.lit(None).cast("string")).alias("lang"),
+                F.lit(x).alias("part"),
+                F.col(f"`{x}`").alias("own"),
+            )
+            for x in item_texts
+        ]
+        own = parts[0]
+        for x in parts[1:]:
+            own = own.unionByName(x)
+        return _joined_runs(corpus, own, kinds, run, run_by_lang or {}).toDF(key, item_key, "part", "start", "length")
     owners, folded, needs = [], [], []
     for item, lang, *parts in held_out(items, item_key, item_texts, item_lang):
-        need = (run_by_lang or {}).get((lang or "").strip().lower(), run)
+        need = needed(lang, run, run_by_lang)
         for name, part in zip(item_texts, parts):
             t = fold(part or "")
             if len(t) >= need:
                 owners.append((item, name))
                 folded.append(t)
                 needs.append(need)
-    kinds = docs.schema[key].dataType.simpleString(), items.schema[item_key].dataType.simpleString()
-    schema = f"`{key}` {kinds[0]}, `{item_key}` {kinds[1]}, part string, start long, length long"
     if not folded:
         return docs.sparkSession.createDataFrame([], schema)
     index = docs.sparkSession.sparkContext.broadcast(Index(folded, needs))
@@ -346,120 +356,59 @@ def leaked_runs(
                 columns=[key, item_key, "part", "start", "length"],
             )
 
-    return docs.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").alias("t")).mapInPandas(filled(scan), schema)
+    return corpus.mapInPandas(filled(scan), schema)
 
 
-def reparameterised(
-    docs: DataFrame,
-    key: str,
-    text: str,
-    items: DataFrame,
-    item_key: str,
-    item_texts: list[str],
-    tokens: int = 40,
-    least: float = 0.5,
-    item_lang: str | None = None,
-    tokens_by_lang: dict[str, int] | None = None,
-    occurrences: bool = False,
-) -> DataFrame:
-    """(key, item key, part, windows, changed): documents that hold at least least
-    of the template windows (of tokens template characters) of an item's text in
-    order, with slots that map one to one onto other values.
-
-    changed counts the differing slots; 0 means a copy with equal values.  Items
-    in a language of tokens_by_lang have windows of that many; a text with a
-    shorter template is one window.  With occurrences a text that a document holds
-    more than once is judged at each place by itself, and one good place is
-    enough; without, the slots of all places together must be consistent.
-    """
-    owners, folded, needs = [], [], []
-    for item, lang, *parts in held_out(items, item_key, item_texts, item_lang):
-        need = (tokens_by_lang or {}).get((lang or "").strip().lower(), tokens)
-        for name, part in zip(item_texts, parts):
-            t = fold(part or "")
-            if t:
-                owners.append((item, name))
-                folded.append(t)
-                needs.append(need)
-    kinds = docs.schema[key].dataType.simpleString(), items.schema[item_key].dataType.simpleString()
-    schema = f"`{key}` {kinds[0]}, `{item_key}` {kinds[1]}, part string, windows long, changed long"
-    if not folded:
-        return docs.sparkSession.createDataFrame([], schema)
-    known = Folded(folded)
-    own = np.bincount(known.text_of(known.start), minlength=len(folded))[: len(folded)] - 1  # without the separator
-    need = np.minimum(needs, own)
-    levels, sizes = [], np.zeros(len(folded), np.int64)
-    for width in np.unique(need).tolist():
-        i, j = known.by_count(width)
-        keep = known.whole(i, j)
-        keep[keep] = need[known.text_of(known.start[i[keep]])] == width
-        i, j = i[keep], j[keep]
-        hashes = known.template_hash(i, j)
-        order = np.argsort(hashes, kind="stable")
-        levels.append((width, hashes[order], i[order]))
-        sizes += np.bincount(known.text_of(known.start[i]), minlength=len(folded))
-    shared = docs.sparkSession.sparkContext.broadcast((known, levels, sizes))
+def _joined_runs(corpus: DataFrame, own: DataFrame, kinds: tuple[str, str], run: int, by_lang: dict[str, int]) -> DataFrame:
+    """leaked_runs with a shuffle hash join of the windows of both sides; the texts
+    come back only for the pairs that share a window."""
+    runs = sorted({run, *by_lang.values()})
+    lookup = F.coalesce(*[F.when(F.col("lang") == k, F.lit(n)) for k, n in by_lang.items()], F.lit(run))
+    own = own.where("own is not null").withColumn("need", lookup).drop("lang").distinct()
+    corpus = corpus.where("t is not null").withColumn("th", F.xxhash64("t")).dropDuplicates(["k", "th"])
 
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known, levels, sizes = shared.value
-        filters = []
-        for _, hashes, _ in levels:
-            seen = np.zeros(1 << _BITS, bool)
-            seen[hashes >> np.uint64(64 - _BITS)] = True
-            filters.append(seen)
-        longest = max(map(len, known.texts)) + 100
+    def hashes(texts: list[str], widths) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, int]]:
+        for numbers, offsets, pieces in blocks(texts, 2 * runs[-1]):
+            f = Folded(pieces)
+            for width, step, need in widths:
+                i = f.starts(width, step)
+                d = f.text_of(i)
+                h = f.window_hash(i, width, f.template_hash(i, width)).astype(np.int64)
+                yield np.array(numbers)[d], i - f.begins[d] + np.array(offsets)[d], h, need
+
+    def doc_windows(batches):
         for pdf in batches:
-            ids = pdf["k"].tolist()
-            rows: dict[tuple[int, int], tuple[int, int]] = {}
-            for numbers, _, pieces in blocks([fold(t) if t else "" for t in pdf["t"]], longest):
-                docs_here = Folded(pieces)
-                for (width, hashes, at), seen in zip(levels, filters):
-                    i, j = docs_here.by_count(width)
-                    h = docs_here.template_hash(i, j)
-                    near = seen[h >> np.uint64(64 - _BITS)]
-                    i, h = i[near], h[near]
-                    a, b = np.searchsorted(hashes, h, "left"), np.searchsorted(hashes, h, "right")
-                    times = b - a
-                    if not times.sum():
-                        continue
-                    which = np.repeat(a - np.concatenate([[0], np.cumsum(times)[:-1]]), times) + np.arange(times.sum())
-                    theirs, mine = np.repeat(i, times), at[which]
-                    doc = docs_here.text_of(docs_here.start[theirs])
-                    part = known.text_of(known.start[mine])
-                    hits = pd.DataFrame({"d": doc, "t": part, "o": theirs - mine, "m": mine, "h": theirs})
-                    for by in [["d", "t"], ["d", "t", "o"]][: 1 + occurrences]:
-                        for (d, t, *_), g in hits.groupby(by):
-                            share = g["m"].nunique()
-                            if share < least * sizes[t]:
-                                continue
-                            changed = slots_changed(docs_here, known, g, width)
-                            if changed is not None:
-                                rows[numbers[d], t] = max(rows.get((numbers[d], t), (0, 0)), (share, changed))
-            yield pd.DataFrame(
-                [(ids[n], *owners[t], *found) for (n, t), found in rows.items()],
-                columns=[key, item_key, "part", "windows", "changed"],
-            )
+            for n, at, h, need in hashes([fold(t) for t in pdf["t"]], [(*window_of(r), r) for r in runs]):
+                yield pdf[["k", "th"]].iloc[n].assign(p=at, h=h, need=need)
 
-    return docs.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").alias("t")).mapInPandas(filled(scan), schema)
+    def own_windows(batches):
+        for pdf in batches:
+            for need, some in pdf.groupby("need"):
+                for n, at, h, _ in hashes([fold(t) for t in some["own"]], [(window_of(need)[0], 1, need)]):
+                    yield some[["item", "part", "need"]].iloc[n].assign(q=at, h=h)
 
+    left = corpus.mapInPandas(filled(doc_windows), f"k {kinds[0]}, th long, p long, h long, need int")
+    right = own.mapInPandas(filled(own_windows), f"item {kinds[1]}, part string, need int, q long, h long")
+    near = left.join(right, ["h", "need"]).groupBy("k", "th", "item", "part", "need", (F.col("p") - F.col("q")).alias("shift"))
+    near = near.agg(F.sort_array(F.collect_set("p")).alias("p"))  # no more than the item has windows
+    pairs = near.join(corpus, ["k", "th"]).join(own, ["item", "part", "need"])
 
-def slots_changed(docs: Folded, known: Folded, hits: pd.DataFrame, tokens: int) -> int | None:
-    """Number of slots of the matched windows whose values differ; None if the
-    values do not map one to one."""
-    text = lambda f, k: f.raw[f.start[k] : f.end[k]].tobytes()
-    there: dict[bytes, bytes] = {}
-    back: dict[bytes, bytes] = {}
-    changed = set()
-    for m, h in zip(hits["m"].tolist(), hits["h"].tolist()):
-        for k in range(tokens):
-            if known.end[m + k] - known.start[m + k] < 2 and docs.end[h + k] - docs.start[h + k] < 2:
-                continue
-            a, b = text(known, m + k), text(docs, h + k)
-            if there.setdefault(a, b) != b or back.setdefault(b, a) != a:
-                return None
-            if a != b:
-                changed.add(m + k)
-    return len(changed)
+    def verify(batches):
+        for pdf in batches:
+            rows = []
+            for k, item, part, need, shift, places, t, o in zip(*(pdf[c] for c in ("k", "item", "part", "need", "shift", "p", "t", "own"))):
+                t, o, reached = fold(t), fold(o), -1
+                for p in places:
+                    # Another version of the item may own the window.
+                    if p < reached or not 0 <= p - shift < len(o) or t[p] != o[p - shift]:
+                        continue
+                    a, reached = extend(t, o, p, p - shift)
+                    if reached - a >= need:
+                        rows.append((k, item, part, a, reached - a))
+            yield pd.DataFrame(rows, columns=["k", "item", "part", "start", "length"])
+
+    schema = f"k {kinds[0]}, item {kinds[1]}, part string, start long, length long"
+    return pairs.select("k", "item", "part", "need", "shift", "p", "t", "own").mapInPandas(filled(verify), schema)
 
 
 def template_runs(
@@ -479,11 +428,23 @@ def template_runs(
 
     windows counts those of the longest such run, changed its differing slots; 0
     means equal values.  Items in a language of tokens_by_lang need that many; of
-    a shorter template all.  Texts of nothing but slots are left out.
+    a shorter template all.  Texts of nothing but slots are left out.  Held-out
+    texts beyond MAX_ITEM_CHARS are taken in parts, each in a scan of its own.
     """
+    times = too_large(items, item_texts)
+    part = F.pmod(F.xxhash64(F.col(f"`{item_key}`")), F.lit(times))
+    out = None
+    for n in range(times):
+        some = items if times == 1 else items.where(part == n)
+        found = _template_runs(docs, key, text, some, item_key, item_texts, item_lang, tokens, tokens_by_lang)
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def _template_runs(docs, key, text, items, item_key, item_texts, item_lang, tokens, tokens_by_lang) -> DataFrame:
     owners, known, needs = [], [], []
     for item, lang, *parts in held_out(items, item_key, item_texts, item_lang):
-        need = (tokens_by_lang or {}).get((lang or "").strip().lower(), tokens)
+        need = needed(lang, tokens, tokens_by_lang)
         for name, part in zip(item_texts, parts):
             t = template(part or "")
             if t[0].strip("\x02\x03"):
