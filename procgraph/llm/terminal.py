@@ -1,12 +1,19 @@
-"""Terminal-context model: does a text end where texts end, or was it cut?
-
-The model is fitted without labels.  Inside a text every sentence end and line
-end shows how complete passages end, and every other position shows how they do
-not; so for the last tokens of a text the share of ends among all inner
-occurrences of those tokens tells whether the text breaks off.  The contexts and
-first words are a classifier fitted on a bounded sample (`fit_rows` texts, at
-random by hash); words, word beginnings and the sources' baselines are counted
-over all texts.  It is applied to every text.
+"""Does a text end where texts end, or was it cut?
+
+Structure comes first.  A stack automaton reads the whole text and tells what is
+still open at its end.  Every line is a unit of some kind (paragraph, line,
+numbered step, bullet, label, table row); for each source and kind the share of
+units that end with a terminator is counted over all texts.  Where nearly all
+do, a last unit without one was cut; where nearly none do, it is complete.
+
+Kinds whose units end either way are decided by terminal contexts, a model
+fitted without labels.  Inside a text every sentence end and line end shows how
+complete passages end, and every other position shows how they do not; so for
+the last tokens of a text the share of ends among all inner occurrences of those
+tokens tells whether the text breaks off.  The contexts and first words are a
+classifier fitted on a bounded sample (`fit_rows` texts, at random by hash);
+words, word beginnings and baselines are counted over all texts.  It is applied
+to every text.
 """
 
 from __future__ import annotations
@@ -28,6 +35,11 @@ ORDERS = (7, 4, 2, 1)
 BEGIN = "\x02"
 STARTS = (6, 3, 2)
 END_SHARE = 0.05
+#: Units of a source and kind from which a baseline is taken, else all sources together count.
+LEAST_UNITS = 20
+#: From which share of terminated units a missing terminator is a cut, and up to which it says nothing.
+MUST_STOP, NEED_NOT_STOP = 0.75, 0.02
+ALL_SOURCES = "\x00"
 #: A word this much rarer than longer words with the same beginning counts as cut.
 CUT_RATIO = 0.01
 
@@ -69,6 +81,30 @@ def passages(text: str) -> list[tuple[str, bool, bool]]:
     return out
 
 
+LABELLED = re.compile(r"[^\s:：]{1,20}(?: [^\s:：]{1,20}){0,2}\s*[:：]")
+NUMBERED = re.compile(r"[^\d]{0,3}\d")
+
+
+def kind_of(line: str) -> str:
+    """Kind of a line: row, or what it starts with and whether it holds several
+    sentences."""
+    if line.startswith("|"):
+        return "row"
+    kind = "plain"
+    if m := MARKER.match(line):
+        kind = "step" if NUMBERED.match(m[0]) else "bullet"
+        line = line[m.end() :]
+    parts = [p for p in SENTENCE.split(line) if p]
+    if len(parts) > 1:
+        return kind + " text"
+    return kind + " label" if LABELLED.match(line) else kind
+
+
+def stopped(line: str) -> bool:
+    bare = line.rstrip(CLOSERS + " ")
+    return bool(bare) and bare[-1] in STOPS
+
+
 MASK = (1 << 64) - 1
 #: Odd multipliers of the token k places before the end of a context.
 PLACES = tuple((0x9E3779B97F4A7C15 * (2 * k + 1) + (k << 33)) & MASK | 1 for k in range(max(ORDERS)))
@@ -103,9 +139,10 @@ def visible(text: str) -> str:
     return text.rstrip().rstrip("​﻿‎‏").rstrip()
 
 
-def frequencies(texts: list[str], sources: list[str]) -> dict[str, np.ndarray]:
-    """k, e, a, asked: counts of words, word beginnings and sources; asked marks
-    sources and the words that a text ends in, the only ones that are looked up."""
+def frequencies(texts: list[str], sources: list[str | None]) -> dict[str, np.ndarray]:
+    """k, e, a, asked: counts of words, word beginnings and units of sources; asked
+    marks units and the words that a text ends in, the only ones that are looked
+    up.  Texts without source (None) have no baseline."""
     raw: Counter = Counter()
     ends: Counter = Counter()
     seen: Counter = Counter()
@@ -113,18 +150,19 @@ def frequencies(texts: list[str], sources: list[str]) -> dict[str, np.ndarray]:
     for text, source in zip(texts, sources):
         if not text:
             continue
-        for passage, stopped, inner in passages(text):
-            t = TOKEN.findall(passage.rstrip(CLOSERS + " ").rstrip(STOPS) if stopped else passage)
-            if not t:
-                continue
-            if len(t) >= 6:
-                seen[source or ""] += 1
-                ends[source or ""] += stopped
-            raw.update(t)
-            if not (stopped or inner):
-                raw[t[-1]] -= 1
+        if source is not None:
+            for line in [x.strip() for x in text.splitlines() if x.strip()][:-1]:
+                kind = kind_of(line)
+                stop = stopped(line)
+                for x in (source, ALL_SOURCES):
+                    seen[x, kind] += 1
+                    ends[x, kind] += stop
+        raw.update(TOKEN.findall(text))
         if shown := visible(text):
-            last.update(tokens(last_part(shown)[1])[-1:])
+            end = last_part(shown)[1]
+            if not stopped(end) and (t := TOKEN.findall(end)):
+                raw[t[-1]] -= 1  # it may be cut
+            last.update(tokens(end)[-1:])
     words: Counter = Counter()
     for w, n in raw.items():
         if n:
@@ -134,7 +172,7 @@ def frequencies(texts: list[str], sources: list[str]) -> dict[str, np.ndarray]:
         if len(w) > 1 and (w[0].isalpha() or w[0] == "@"):
             for i in range(1, len(w)):
                 begins[w[:i]] += n
-    rows = [(key("b", x), ends[x], n, 1) for x, n in seen.items()]
+    rows = [(key("b", *x), ends[x], n, 1) for x, n in seen.items()]
     rows += [(key("w", w), n, n, int(w in last)) for w, n in words.items()]
     rows += [(key("p", b), n, n, int(b in last)) for b, n in begins.items()]
     rows += [(key("w", w), 0, 0, 1) for w in last.keys() - words.keys()] + [(key("p", w), 0, 0, 1) for w in last.keys() - begins.keys()]
@@ -219,6 +257,14 @@ class Model:
                 return e / a, a
         return None
 
+    def baseline(self, source: str | None, kind: str) -> float | None:
+        """Share of the source's units of this kind that end with a terminator."""
+        for x in (source or "", ALL_SOURCES):
+            e, a = self.get("b", x, kind)
+            if a >= LEAST_UNITS:
+                return e / a
+        return None
+
     def cut_word(self, word: str) -> bool:
         """A word that is never or hardly met inside texts but begins one that is.
         Words that end more texts than they begin longer words are whole."""
@@ -250,7 +296,7 @@ def fit(df: DataFrame, text: str, source: str | None = None, fit_rows: int = FIT
 
         return filled(count)
 
-    where = F.col(f"`{source}`") if source else F.lit("")
+    where = F.coalesce(F.col(f"`{source}`").cast("string"), F.lit("")) if source else F.lit(None)
     tasks = df.sparkSession.sparkContext.defaultParallelism
     contexts = (
         sampled.select(F.col(f"`{text}`").alias("t"))
@@ -284,19 +330,27 @@ BROKEN_TAIL = re.compile(
     r"|\\(?:u[0-9a-fA-F]{0,3}|x[0-9a-fA-F]?)?$"  # escape
     r"|%[0-9A-F]{2}%[0-9A-F]?$"  # URL escape
     r"|[\ud800-\udfff]$"
+    r"|[ÂÃâ][\u0080-\u00bf]?$"  # the first bytes of a character, read one by one
 )
 TAG = re.compile(r"<(/?)([A-Za-z][A-Za-z0-9]*)(?:\s[^<>]*?)?(/?)>")
 VOID = {"br", "hr", "img", "input", "meta", "link", "wbr", "p", "li", "td", "tr", "th"}
 PAIRS = {")": "(", "]": "[", "}": "{", "）": "（", "】": "【", "」": "「", "』": "『", "”": "“", "»": "«", "》": "《"}
 
 OPENERS = frozenset(PAIRS.values())
+CLOSED_BY = {o: c for c, o in PAIRS.items()}
+FENCE = re.compile(r"^\s*(?:```|~~~)", re.M)
+PARAGRAPH = re.compile(r"\n\s*\n|\r\n\s*\r\n")
+JSON_START = re.compile(r"\s*(?:\{\s*(?:\"|\}|$)|\[\s*(?:[\[{\"\]\d]|$))")
+JSON_TOKEN = re.compile(r'"(?:[^"\\\\]|\\\\.)*"|["{}\[\]]', re.S)
 OPENING = re.compile("[" + re.escape("".join(sorted(OPENERS))) + '„"]')
 
 
 def open_at_end(text: str) -> str | None:
     """Stack automaton: what is still open at the end of the text, if anything.
-    Tags and code fences count in the whole text, brackets and quotes in its
-    last line, where they must close."""
+
+    Tags, code fences and the braces of a JSON text must close anywhere in it;
+    brackets and quotes of prose must close in the paragraph they open in, so
+    only those of the last one count."""
     stack: list[str] = []
     for m in TAG.finditer(text):
         name = m[2].lower()
@@ -307,36 +361,52 @@ def open_at_end(text: str) -> str | None:
         elif name in stack:
             while stack.pop() != name:
                 pass
-    if stack:
+    if stack or len(FENCE.findall(text)) % 2 or text.count("<!--") > text.count("-->"):
         return "markup"
-    if text.count("```") % 2:
-        return "markup"
-    line = TAG.sub("", text.rstrip().rpartition("\n")[2])
-    if not OPENING.search(line):
+    if JSON_START.match(text):
+        return json_open(text)
+    last = TAG.sub("", PARAGRAPH.split(text)[-1])
+    if not OPENING.search(last):
         return None
-    if re.match(r"\s*(?:\d+|[A-Za-z])\)", line):
-        line = line.partition(")")[2]
-    opened: list[str] = []
-    german = 0
-    for c in line:
-        if c == "„":
-            german += 1
-        elif c == "“" and german:
-            german -= 1
-        elif c in OPENERS:
-            opened.append(c)
-        elif c in PAIRS and opened and opened[-1] == PAIRS[c]:
-            opened.pop()
-    if opened or german:
-        return "bracket"
-    if len(re.findall(r'"', line)) % 2 and re.search(r'(?:^|\s|[（(:：])"\w[^"]*$', line):
-        return "quote"
-    return None
+    for line in last.splitlines():
+        # A list entry "a)" closes nothing.
+        body = line.partition(")")[2] if re.match(r"\s*(?:\d+|[A-Za-z])\)", line) else line
+        for i, c in enumerate(body):
+            if c == "„":
+                stack.append("“")
+            elif c == '"':
+                if stack and stack[-1] == '"':
+                    stack.pop()
+                elif i + 1 < len(body) and not body[i + 1].isspace() and (not i or not body[i - 1].isalnum()):
+                    stack.append('"')  # else an inch sign or a stray mark
+            elif stack and stack[-1] == c:
+                stack.pop()
+            elif c in OPENERS:
+                stack.append(CLOSED_BY[c])
+    if not stack:
+        return None
+    return "quote" if stack[-1] in '"“”»」』' else "bracket"
+
+
+def json_open(text: str) -> str | None:
+    """bracket or quote if a JSON text ends inside one."""
+    stack: list[str] = []
+    for m in JSON_TOKEN.finditer(text):
+        c = m[0]
+        if c in "{[":
+            stack.append("}" if c == "{" else "]")
+        elif c in "}]":
+            if stack and stack[-1] == c:
+                stack.pop()
+        elif c == '"':
+            return "quote"  # a string without end
+    return "bracket" if stack else None
 
 
 def breaks_off(text: str | None, model: Model, source: str | None = None) -> str | None:
-    """How a text breaks off (mark, escape, markup, bracket, quote, row, list,
-    word, number, sentence), or None if it is complete.
+    """How a text breaks off, or None if it is complete: mark, escape, markup,
+    bracket, quote, row, list and number by structure; terminator by the source's
+    baseline; word and sentence by terminal contexts where the baseline is open.
 
     Null and blank texts are complete.  Ends that the model has never seen count
     as complete unless a word is cut, so rare notes and names are no case.
@@ -378,18 +448,20 @@ def breaks_off(text: str | None, model: Model, source: str | None = None) -> str
     seq = [BEGIN, *tokens(last)]
     if len(seq) == 1:
         return None
+    usual = model.baseline(source, kind_of(line))
+    if usual is not None and usual >= MUST_STOP:
+        return "terminator"
     if model.cut_word(seq[-1]):
         return "word"
+    if usual is not None and usual <= NEED_NOT_STOP:
+        return None
     if seq[-1] in (",", "，", "、", ";", "；", "-") and len(seq) > 2:
         return "sentence"
     begun, times = model.start_share(seq[1:])
-    b_end, b_all = model.get("b", source or "")
-    stops_here = b_all < 20 or b_end / b_all >= 0.5  # this source's baseline
-    prose = times and begun >= 0.5
+    prose = times and begun >= 0.7
     if prose:
         share = model.end_share(seq)
-        limit = END_SHARE if stops_here else 0.02
-        if share and share[0] < limit:
+        if share and share[0] < END_SHARE:
             return "sentence"
         if not share and seq[-1][0].isalpha():
             e, a = model.at(context_key(seq, 1))
@@ -399,6 +471,7 @@ def breaks_off(text: str | None, model: Model, source: str | None = None) -> str
                 return "word"
     else:
         share = model.end_share(seq, (2,), 20)
-        if share and share[0] < 0.02:
+        one = model.at(context_key(seq, 1))
+        if share and share[0] < 0.02 and one[0] < 0.02 * one[1]:
             return "sentence"
     return None
