@@ -55,16 +55,16 @@ CLOSERS = "\"'”’」』）)]»“"
 def tokens(passage: str) -> list[str]:
     """Words in lower case, single CJK characters, punctuation; numbers become 0
     and codes keep only the number of their digits."""
-    out = []
-    for x in TOKEN.findall(passage):
-        if x[0].isdigit():
-            out.append("0")
-        elif CODE.match(x):
-            head, _, digits = x.partition("-")
-            out.append("@" * len(head) + "9" * len(digits))
-        else:
-            out.append(x.lower())
-    return out
+    return [normal(x) for x in TOKEN.findall(passage)]
+
+
+def normal(x: str) -> str:
+    if x[0].isdigit():
+        return "0"
+    if "-" in x and CODE.match(x):
+        head, _, digits = x.partition("-")
+        return "@" * len(head) + "9" * len(digits)
+    return x.lower()
 
 
 def passages(text: str) -> list[tuple[str, bool, bool]]:
@@ -94,8 +94,7 @@ def kind_of(line: str) -> str:
     if m := MARKER.match(line):
         kind = "step" if NUMBERED.match(m[0]) else "bullet"
         line = line[m.end() :]
-    parts = [p for p in SENTENCE.split(line) if p]
-    if len(parts) > 1:
+    if any(m.start() and m.end() < len(line) for m in SENTENCE.finditer(line)):
         return kind + " text"
     return kind + " label" if LABELLED.match(line) else kind
 
@@ -166,7 +165,7 @@ def frequencies(texts: list[str], sources: list[str | None]) -> dict[str, np.nda
     words: Counter = Counter()
     for w, n in raw.items():
         if n:
-            words[tokens(w)[0]] += n
+            words[normal(w)] += n
     begins: Counter = Counter()
     for w, n in words.items():
         if len(w) > 1 and (w[0].isalpha() or w[0] == "@"):
