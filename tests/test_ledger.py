@@ -1,4 +1,5 @@
 import datetime as dt
+import threading
 
 from pyspark.sql import functions as F
 
@@ -100,3 +101,86 @@ def test_abandoned_marker_is_removed(spark, tmp_path):
     assert store.head() == 1
     store.update(lambda s: s)
     assert store.head() == 2
+
+
+def test_stalled_writer_is_told_that_it_lost(spark, tmp_path):
+    """A writes its manifest, stalls, B commits the same number; A must not win."""
+    path = str(tmp_path / "ledger")
+    work = plan(spark, [("a", 1, 1.0, at(1)), ("b", 1, 1.0, at(1))], [])
+    WorkLedger(spark, path).update(lambda s: ledger.enqueue(s, work))
+    other = WorkLedger(spark, path, abandoned_s=0.0)
+    stalls = []
+
+    def stalling(spark, written, target):
+        if not stalls:
+            stalls.append(target)
+            other.update(lambda s: ledger.lease(s, "B", F.lit(at(0)), 10))
+        return ledger.publish(spark, written, target)
+
+    mine = WorkLedger(spark, path, publisher=stalling)
+    mine.update(lambda s: ledger.lease(s, "A", F.lit(at(0)), 10))
+    assert {(r.item, r.owner, r.token) for r in other.read().collect()} == {("a", "B", 1), ("b", "B", 1)}
+    assert other.head() == 3 and len(list((tmp_path / "ledger" / "_commits").glob("written-*"))) == 0
+
+
+def test_two_drivers_race(spark, tmp_path):
+    path = str(tmp_path / "ledger")
+    work = plan(spark, [(f"f{k}", 1, 1.0, at(1)) for k in range(40)], [])
+    WorkLedger(spark, path).update(lambda s: ledger.enqueue(s, work))
+    got = {}
+
+    def run(name):
+        state = WorkLedger(spark, path).update(lambda s: ledger.lease(s, name, F.lit(at(0)), 10))
+        got[name] = {r.item for r in state.where(F.col("owner") == name).collect()}
+
+    threads = [threading.Thread(target=run, args=(n,)) for n in ("one", "two", "three")]
+    [t.start() for t in threads]
+    [t.join() for t in threads]
+    assert sorted(map(len, got.values())) == [0, 0, 40] and WorkLedger(spark, path).head() == 4
+
+
+def test_crash_between_write_and_commit(spark, tmp_path):
+    def dies(spark, written, target):
+        raise KeyboardInterrupt
+
+    path = str(tmp_path / "ledger")
+    work = plan(spark, [("a", 1, 1.0, at(1))], [])
+    try:
+        WorkLedger(spark, path, publisher=dies).update(lambda s: ledger.enqueue(s, work))
+    except KeyboardInterrupt:
+        pass
+    store = WorkLedger(spark, path)
+    assert store.head() == 0 and store.read().count() == 0
+    store.update(lambda s: ledger.enqueue(s, work))
+    assert [r.state for r in store.read().collect()] == ["pending"]
+
+
+def test_only_touched_buckets_are_written_and_old_data_goes(spark, tmp_path):
+    store = WorkLedger(spark, str(tmp_path / "ledger"), buckets=8, keep=2)
+    work = plan(spark, [(f"f{k}", 1, 1.0, at(1)) for k in range(60)], [])
+    store.update(lambda s: ledger.lease(ledger.enqueue(s, work), "one", F.lit(at(0)), 10))
+    before = store._manifest(1)["data"]
+    done = spark.createDataFrame([("f7", 1)], "item string, token long")
+    store.update(lambda s: ledger.complete(s, done), items=done)
+    after = store._manifest(2)["data"]
+    assert sum(before[b] != after[b] for b in before) == 1 and store.read().count() == 60
+    assert [r.item for r in store.read().where("state = 'done'").collect()] == ["f7"]
+    for _ in range(3):
+        store.update(lambda s: s)
+    assert len(list((tmp_path / "ledger").glob("data-*"))) == 2 and store.read().count() == 60
+
+
+def test_claims_of_a_failed_build_come_again_once(spark, tmp_path):
+    listing = spark.createDataFrame([("x/a", 1, 1.0, at(1), "x"), ("x/b", 1, 1.0, at(1), "x"), ("x/c", 1, 9.0, at(1), "x")], LISTING)
+    records = spark.createDataFrame([("y/b", 1, 2.0, at(1), True, "x"), ("y/c", 1, 1.0, at(1), True, "x"), ("y/old", 1, 1.0, at(1), True, "x")], RECORDS)
+    store = WorkLedger(spark, str(tmp_path / "ledger"))
+    store.update(lambda s: ledger.enqueue(s, ledger.history(records)))
+    names = lambda df: sorted((r.item, r.token) for r in df.collect())
+    first = ledger.claim(store, listing, "one", F.lit(at(0)), 10)
+    assert names(first) == [("a", 1), ("c", 2)]
+    assert names(ledger.claim(store, listing, "two", F.lit(at(5)), 10)) == []  # still leased
+    again = ledger.claim(store, listing, "two", F.lit(at(20)), 10)
+    assert names(again) == [("a", 2), ("c", 3)]
+    store.update(lambda s: ledger.complete(s, first))  # too late
+    store.update(lambda s: ledger.complete(s, again))
+    assert names(ledger.claim(store, listing, "three", F.lit(at(50)), 10)) == []
