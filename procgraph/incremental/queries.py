@@ -4,13 +4,17 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import checkpoint_folder, read
 from .ledger import WorkLedger, claim, complete, enqueue, expire, history, lease, listed, plan_work
 
-NOW, LATER = (F.lit(f"2026-01-01 0{h}:00:00").cast("timestamp") for h in (0, 2))
+NOW, LATER = "2026-01-01 00:00:00", "2026-01-01 02:00:00"
+
+
+def _at(time: str) -> Column:
+    return F.lit(time).cast("timestamp")
 
 
 def _ledger(spark: SparkSession, d: str) -> WorkLedger:
@@ -24,17 +28,17 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     """Files that the next build has to process: what it leases from the ledger
     after a build that leased everything died and its leases ended."""
     store, listing = _ledger(spark, d), read(spark, d, "file_listing")
-    claim(store, listing, "builder-1", NOW, 3600)
-    return claim(store, listing, "builder-2", LATER, 3600).select(F.col("item").alias("file_name"))
+    claim(store, listing, "builder-1", _at(NOW), 3600)
+    return claim(store, listing, "builder-2", _at(LATER), 3600).select(F.col("item").alias("file_name"))
 
 
 def p4_states(spark: SparkSession, d: str) -> DataFrame:
     """Ledger states after a build that leased all work, finished half of it by
     name and died: the other half's leases expire and come back as pending."""
     work = plan_work(read(spark, d, "file_listing"), read(spark, d, "file_records"))
-    leased = lease(work, "builder-1", NOW, 3600)
+    leased = lease(work, "builder-1", _at(NOW), 3600)
     first_half = F.conv(F.substring(F.md5("item"), 1, 1), 16, 10).cast("int") < 8
-    after = expire(complete(leased, leased.where(first_half & (F.col("state") == "leased"))), later)
+    after = expire(complete(leased, leased.where(first_half & (F.col("state") == "leased"))), _at(LATER))
     again = enqueue(after, work)
     return again.groupBy("state", "token").agg(F.count("*").alias("n_files"))
 
@@ -44,11 +48,11 @@ def p4_ledger(spark: SparkSession, d: str) -> DataFrame:
     half by name and died, a second that finished the rest, and results of the
     first that came too late."""
     store, listing = _ledger(spark, d), read(spark, d, "file_listing")
-    first = claim(store, listing, "builder-1", NOW, 3600)
+    first = claim(store, listing, "builder-1", _at(NOW), 3600)
     first_half = F.conv(F.substring(F.md5("item"), 1, 1), 16, 10).cast("int") < 8
     done = first.where(first_half)
     store.update(lambda s: complete(s, done), items=done)
-    second = claim(store, listing, "builder-2", LATER, 3600)
+    second = claim(store, listing, "builder-2", _at(LATER), 3600)
     store.update(lambda s: complete(s, first))  # stale tokens
     state = store.update(lambda s: complete(s, second))
     named = state.join(listed(listing).select("item"), "item", "left_semi")

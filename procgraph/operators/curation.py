@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -13,7 +14,11 @@ from ..session import filled, materialize
 from .graph import first_per
 
 #: Titles of a product that one round decides in order, and kept titles that may be broadcast.
-ROUND_TITLES, MAX_KEPT = 500, 200_000
+ROUND_TITLES, MAX_KEPT = 2000, 200_000
+#: Parts of a product when kept titles are shuffled instead.
+PARTS = 64
+#: Buckets of letters and of pairs of letters in a profile.
+LETTERS, PAIRS = 64, 192
 
 
 def titled(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -37,6 +42,52 @@ def similar(a: str, b: str, threshold: float) -> bool:
     return m.real_quick_ratio() > threshold and m.quick_ratio() > threshold and m.ratio() > threshold
 
 
+def profiles(texts: list[str]) -> np.ndarray:
+    """Counts of hashed letters and of hashed pairs of letters of each text."""
+    out = np.zeros((len(texts), LETTERS + PAIRS), np.uint16)
+    for row, t in zip(out, texts):
+        c = np.frombuffer(t.encode("utf-32-le", "replace"), np.uint32)
+        row[:LETTERS] = np.bincount(c % LETTERS, minlength=LETTERS)
+        if len(c) > 1:
+            row[LETTERS:] = np.bincount((c[:-1] * np.uint32(31) + c[1:]) % PAIRS, minlength=PAIRS)
+    return out
+
+
+class Kept:
+    """Titles kept so far; alike tells whether one of them is more than threshold
+    similar to a text.
+
+    A ratio above t needs matching letters M > t (la + lb) / 2.  The letters that
+    both hold are no fewer.  M letters in at most (la - M) + (lb - M) + 1 blocks
+    hold at least M less the blocks in pairs of neighbours, which both hold too.
+    Counting in buckets can only raise what both hold, so no pair above the
+    threshold is passed over; the others are compared letter by letter.
+    """
+
+    def __init__(self, threshold: float):
+        self.threshold, self.texts, self.n = threshold, [], 0
+        self.table, self.size = np.zeros((64, LETTERS + PAIRS), np.uint16), np.zeros(64, np.int64)
+
+    def add(self, text: str, profile: np.ndarray) -> None:
+        if self.n == len(self.size):
+            self.table, self.size = np.concatenate([self.table] * 2), np.concatenate([self.size] * 2)
+        self.table[self.n], self.size[self.n] = profile, len(text)
+        self.texts.append(text)
+        self.n += 1
+
+    def alike(self, text: str, profile: np.ndarray) -> bool:
+        both = self.size[: self.n] + len(text)
+        least = self.threshold * both / 2
+        near = np.flatnonzero(np.minimum(self.size[: self.n], len(text)) >= least - 1e-9)
+        if not len(near):
+            return False
+        shared = np.minimum(self.table[near], profile)
+        both, least = both[near], least[near]
+        good = shared[:, :LETTERS].sum(1) >= least - 1e-9
+        good &= shared[:, LETTERS:].sum(1) >= least - (both - 2 * least) - 1 - 1e-9
+        return any(similar(text, self.texts[i], self.threshold) for i in near[good].tolist())
+
+
 def fuzzy_dedup(rows: DataFrame, threshold: float = 0.8) -> DataFrame:
     """B13, second step: (key, product, procedure, length) kept by the greedy rule:
     longest first, a row goes if its procedure is more than threshold similar to
@@ -56,37 +107,56 @@ def fuzzy_dedup(rows: DataFrame, threshold: float = 0.8) -> DataFrame:
 
     def decide(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["length", "key"], ascending=[False, True])
-        kept: list[str] = []
-        keep = []
-        for p in pdf["procedure"]:
-            ok = not any(similar(p, k, threshold) for k in kept)
-            keep.append(ok)
-            if ok:
-                kept.append(p)
+        kept, keep = Kept(threshold), []
+        for p, profile in zip(pdf["procedure"], profiles(pdf["procedure"].tolist())):
+            keep.append(not kept.alike(p, profile))
+            if keep[-1]:
+                kept.add(p, profile)
         return pdf[keep]
 
+    def unlike(texts: list[str], known: list[str]) -> list[bool]:
+        kept = Kept(threshold)
+        for p, profile in zip(known, profiles(known)):
+            kept.add(p, profile)
+        return [not kept.alike(p, profile) for p, profile in zip(texts, profiles(texts))]
+
     decided = None
     while not left.isEmpty():
         head = left.withColumn("n", F.row_number().over(w)).where(F.col("n") <= ROUND_TITLES).drop("n")
         fresh = materialize(head.groupBy("product").applyInPandas(decide, schema))
         decided = fresh if decided is None else decided.unionByName(fresh)
-        listed = fresh.select("product", "procedure").limit(MAX_KEPT + 1).collect()
-        if len(listed) > MAX_KEPT:
-            raise ValueError("too many dissimilar titles in one round; lower ROUND_TITLES")
+        rest = left.join(head.select("key", "product"), ["key", "product"], "left_anti").select(*columns)
+        left = materialize(_filtered(rest, fresh, unlike, schema))
+    return decided if decided is not None else left
+
+
+def _filtered(rest: DataFrame, fresh: DataFrame, unlike, schema: str) -> DataFrame:
+    """The rows of rest that are like no fresh title of their product: against a
+    broadcast of a checked size, else by parts of a product, each with a copy of
+    the product's fresh titles."""
+    known = fresh.select("product", "procedure")
+    listed = known.limit(MAX_KEPT + 1).collect()
+    if len(listed) <= MAX_KEPT:
         by_product: dict[str, list[str]] = {}
         for r in listed:
             by_product.setdefault(r.product, []).append(r.procedure)
-        held = left.sparkSession.sparkContext.broadcast(by_product)
+        held = rest.sparkSession.sparkContext.broadcast(by_product)
 
-        def unlike(batches):
+        def scan(batches):
             for pdf in batches:
-                known = held.value
-                keep = [not any(similar(p, k, threshold) for k in known.get(g, ())) for g, p in zip(pdf["product"], pdf["procedure"])]
-                yield pdf[keep]
+                for g, some in pdf.groupby("product", dropna=False):
+                    yield some[unlike(some["procedure"].tolist(), held.value.get(None if pd.isna(g) else g, []))]
 
-        rest = left.join(head.select("key", "product"), ["key", "product"], "left_anti").select(*columns)
-        left = materialize(rest.mapInPandas(filled(unlike), schema))
-    return decided if decided is not None else left
+        return rest.mapInPandas(filled(scan), schema)
+    salted = rest.withColumn("part", F.pmod(F.xxhash64("key"), F.lit(PARTS)).cast("int"))
+    copies = known.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+
+    def pair(some: pd.DataFrame, titles: pd.DataFrame) -> pd.DataFrame:
+        some = some.drop(columns="part")
+        return some[unlike(some["procedure"].tolist(), titles["procedure"].tolist())] if len(some) else some
+
+    by = ["product", "part"]
+    return salted.groupBy(*by).cogroup(copies.groupBy(*by)).applyInPandas(pair, schema)
 
 
 def dedup_flags(rows: DataFrame, threshold: float = 0.8) -> DataFrame:

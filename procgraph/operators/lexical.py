@@ -6,21 +6,27 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import strip
-from ..session import filled
+from ..session import filled, materialize
 
 #: Separators of the tokenizer that needs no dictionary.
-SEPARATORS = "[\\s，。！？；：、（）【】《》\"]+"
+SEPARATORS = " \t\n\x0b\f\r，。！？；：、（）【】《》\""
 #: Parameters of the ranking function.
 K1, B, EPSILON = 1.5, 0.75, 0.25
+#: Queries in one broadcast and documents in one product of matrices.
+QUERY_BLOCK, DOC_BLOCK = 1000, 500
 
 
 def tokens(c: Column) -> Column:
     """L1: lower case, split at white space and CJK punctuation, blanks dropped."""
-    return F.filter(F.split(F.lower(c), SEPARATORS), lambda t: t != "")
+    # One blank for each separator, so that the split needs no pattern and no function runs per token.
+    blanks = F.translate(F.lower(c), SEPARATORS, " " * len(SEPARATORS))
+    return F.array_remove(F.split(blanks, " "), "")
 
 
 def postings(docs: DataFrame, key: str, text: Column) -> DataFrame:
@@ -67,6 +73,73 @@ def bm25(queries: DataFrame, posted: DataFrame, n_docs: int) -> DataFrame:
     )
 
 
+def asked_terms(queries: DataFrame) -> DataFrame:
+    """(query_id, term, qtf) of queries (query_id, text)."""
+    words = queries.select("query_id", F.explode(tokens(F.col("text"))).alias("term"))
+    return words.groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
+
+
+def bm25_top(queries: DataFrame, docs: DataFrame, key: str, text: Column, k: int, digits: int = 6) -> DataFrame:
+    """L3 with its cut: (query_id, id, score, rank) of the k best documents with a
+    positive score; ties go to the smaller id.
+
+    The queries' terms and weights travel as a broadcast, QUERY_BLOCK queries at a
+    time, and documents are scored where they lie, so a word that all documents
+    hold is no hot key; k rows per query leave a batch.  Statistics run over all
+    documents; of them only (term, count) is shuffled, added up before.
+    """
+    words = docs.select(F.col(f"`{key}`").alias("id"), tokens(text).alias("t"))
+    n_docs, total = words.agg(F.count("*"), F.sum(F.size("t"))).first()
+    average = float(total or 0) / max(n_docs, 1) or 1.0
+    seen = words.select(F.explode(F.array_distinct("t")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    raw = materialize(seen.withColumn("raw", F.log(F.lit(float(n_docs)) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)))
+    low = EPSILON * (raw.agg(F.avg("raw")).first()[0] or 0.0)
+    weight = F.when(F.col("raw") < 0, F.lit(low)).otherwise(F.col("raw"))
+    asked = asked_terms(queries).join(raw.select("term", weight.alias("idf")), "term")
+    numbered = materialize(asked.withColumn("weight", F.col("idf") * F.col("qtf")).select("query_id", "term", "weight"))
+    times = max(1, -(-numbered.select("query_id").distinct().count() // QUERY_BLOCK))
+    kinds = queries.schema["query_id"].dataType.simpleString(), docs.schema[key].dataType.simpleString()
+    schema = f"query_id {kinds[0]}, id {kinds[1]}, score double"
+    out = None
+    for block in range(times):
+        some = numbered.where(F.pmod(F.xxhash64("query_id"), F.lit(times)) == block).toPandas()
+        found = words.mapInArrow(_scores(docs.sparkSession, some, average, k, digits), schema)
+        found = found if times == 1 else materialize(found)
+        out = found if out is None else out.unionByName(found)
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def _scores(spark, asked: pd.DataFrame, average: float, k: int, digits: int):
+    """An Arrow function from (id, tokens) to the k best of every query in a batch."""
+    names, terms = sorted(asked["query_id"].unique()), sorted(asked["term"].unique())
+    weights = np.zeros((len(names), len(terms)))
+    place = {q: i for i, q in enumerate(names)}, {t: i for i, t in enumerate(terms)}
+    weights[asked["query_id"].map(place[0]), asked["term"].map(place[1])] = asked["weight"]
+    shared = spark.sparkContext.broadcast((names, terms, weights))
+
+    def score(batches):
+        names, terms, weights = shared.value
+        for whole in batches:
+            for low in range(0, whole.num_rows, DOC_BLOCK):
+                batch = whole.slice(low, DOC_BLOCK)
+                lists = batch.column(1)
+                length = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+                term = pc.index_in(lists.flatten(), pa.array(terms, lists.type.value_type)).to_numpy(zero_copy_only=False)
+                doc, known = np.repeat(np.arange(len(length)), length), ~np.isnan(term)
+                tf = np.zeros((len(terms), len(length)))
+                np.add.at(tf, (term[known].astype(int), doc[known]), 1.0)
+                used = tf.any(1)
+                tf = tf[used]
+                s = np.round(weights[:, used] @ (tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / average))), digits)
+                cut = np.maximum(-np.partition(-s, k - 1, axis=1)[:, k - 1], 0.0) if s.shape[1] > k else np.zeros(len(names))
+                a, b = np.nonzero((s >= cut[:, None]) & (s > 0))
+                ids = pa.array(names).take(pa.array(a))
+                yield pa.RecordBatch.from_arrays([ids, batch.column(0).take(pa.array(b)), pa.array(s[a, b])], ["query_id", "id", "score"])
+
+    return score if names else lambda batches: iter(())
+
+
 def inverted_index(chunk_kw: DataFrame) -> DataFrame:
     """(keyword, frequency, chunk_ids) of (chunk_id, keyword) rows: stripped,
     blanks dropped, frequency = distinct chunks."""

@@ -9,7 +9,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Queries are a stated batch; more than this are refused instead of broadcast.
+from ..session import materialize
+
+#: Queries in one broadcast.
 MAX_QUERIES = 20_000
 DIGITS = 6
 
@@ -22,10 +24,8 @@ def match_metadata(metadata: str, wanted: dict[str, str]) -> Column:
 
 
 def query_block(queries: DataFrame) -> tuple[list, np.ndarray]:
-    """Ids and unit vectors of a checked batch of queries (query_id, q)."""
-    rows = queries.select("query_id", "q").where("q is not null").limit(MAX_QUERIES + 1).collect()
-    if len(rows) > MAX_QUERIES:
-        raise ValueError(f"more than {MAX_QUERIES} queries: search them in blocks")
+    """Ids and unit vectors of a block of at most about MAX_QUERIES queries (query_id, q)."""
+    rows = queries.select("query_id", "q").where("q is not null").collect()
     if not rows:
         return [], np.zeros((0, 0))
     rows.sort(key=lambda r: str(r.query_id))
@@ -40,9 +40,22 @@ def local_best(queries: DataFrame, items: DataFrame, k: int | None, digits: int
     (all with k None), by cosine in double precision.
 
     Items are scanned once where they lie; what leaves a batch is k rows per
-    query, not one per pair.  Zero queries and vectors of another length, zero
-    or with missing values give no row.
+    query, not one per pair.  More than MAX_QUERIES queries go in blocks, each in
+    a scan of its own whose result is written before the next is collected.  Zero
+    queries and vectors of another length, zero or with missing values give no row.
     """
+    times = -(-queries.count() // MAX_QUERIES)
+    if times > 1:
+        found = None
+        for n in range(times):
+            block = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(times)) == n)
+            part = materialize(_local_best(block, items, k, digits))
+            found = part if found is None else found.unionByName(part)
+        return found
+    return _local_best(queries, items, k, digits)
+
+
+def _local_best(queries: DataFrame, items: DataFrame, k: int | None, digits: int) -> DataFrame:
     ids, q = query_block(queries)
     kinds = queries.schema["query_id"].dataType.simpleString(), items.schema["id"].dataType.simpleString()
     schema = f"query_id {kinds[0]}, id {kinds[1]}, score double"

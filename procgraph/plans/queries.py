@@ -94,11 +94,8 @@ def node_context(spark: SparkSession, d: str) -> DataFrame:
 
 
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
-    docs = read(spark, d, "documents")
-    posted = materialize(lexical.postings(docs, "doc_id", F.col("text")))
     asked = read(spark, d, "eval_items").select(F.col("item_id").alias("query_id"), F.col("question").alias("text"))
-    scored = lexical.bm25(asked, posted, docs.count())
-    return search.top_k(scored.where("score > 0").withColumn("score", F.round("score", 6)), K)
+    return lexical.bm25_top(asked, read(spark, d, "documents"), "doc_id", F.col("text"), K)
 
 
 def _chunk_keywords(spark: SparkSession, d: str) -> DataFrame:

@@ -1,3 +1,6 @@
+import numpy as np
+from difflib import SequenceMatcher
+import random
 import math
 
 import pytest
@@ -283,3 +286,48 @@ def test_parsing_operators(spark, collect):
 def test_proxy_tokens(spark):
     df = spark.createDataFrame([("a b  c",), ("",), (None,), ("　",)], "t string")
     assert [r[0] for r in df.select(proxy_tokens(F.col("t"))).collect()] == [3, 0, 0, 0]
+
+
+def test_bm25_top_equals_the_join(spark, collect, monkeypatch):
+    rng = random.Random(5)
+    words = [f"w{k}" for k in range(30)] + ["泵", "über"]
+    text = lambda n: " ".join(words[min(31, int(rng.expovariate(0.2)))] for _ in range(n))
+    docs = [(k, text(rng.randrange(0, 40))) for k in range(300)] + [(900, None), (901, ""), (902, "w0 " * 3000)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    asked = spark.createDataFrame([(f"q{k}", text(5) + " w0") for k in range(25)] + [("none", "zz"), ("blank", None)], "query_id string, text string")
+    scored = lexical.bm25(asked, lexical.postings(df, "doc_id", F.col("text")), df.count())
+    want = search.top_k(scored.where("score > 0").withColumn("score", F.round("score", 6)), 7)
+    cols = ("query_id", "id", "score", "rank")
+    assert collect(lexical.bm25_top(asked, df, "doc_id", F.col("text"), 7), *cols) == collect(want, *cols)
+    monkeypatch.setattr(lexical, "QUERY_BLOCK", 6)
+    monkeypatch.setattr(lexical, "DOC_BLOCK", 50)
+    assert collect(lexical.bm25_top(asked, df, "doc_id", F.col("text"), 7), *cols) == collect(want, *cols)
+    assert lexical.bm25_top(asked, df.where("false"), "doc_id", F.col("text"), 7).count() == 0
+    assert lexical.bm25_top(asked.where("false"), df, "doc_id", F.col("text"), 7).count() == 0
+
+
+def test_queries_beyond_one_broadcast(spark, collect, monkeypatch):
+    rng = np.random.default_rng(4)
+    items = spark.createDataFrame([(k, rng.normal(size=8).tolist()) for k in range(200)], "id long, v array<double>")
+    asked = items.select(F.col("id").alias("query_id"), F.col("v").alias("q"))
+    want = collect(search.search(asked, items, 3))
+    monkeypatch.setattr(search, "MAX_QUERIES", 60)
+    assert collect(search.search(asked, items, 3)) == want and len(want) == 600
+
+
+def test_fuzzy_dedup_equals_the_greedy_rule(spark, collect, monkeypatch):
+    rng = random.Random(3)
+    words = "pump valve filter burner hoist 泵 阀 check clean restart isolate line shift slow ok".split()
+    title = lambda: " ".join(rng.choice(words) for _ in range(rng.randrange(0, 7))) + str(rng.randrange(100)) * rng.randrange(2)
+    rows = [(k, rng.choice(["A", "A", "B", None]), title(), rng.randrange(5)) for k in range(400)]
+    rows += [(500, "A", None, 1)]
+    df = spark.createDataFrame(rows, "key long, product string, procedure string, length int").where("procedure is not null")
+    kept = {}
+    for k, g, p, n in sorted((r for r in rows if r[2] is not None), key=lambda r: (-r[3], r[0])):
+        if not any(SequenceMatcher(None, p, x).ratio() > 0.8 or p == x for _, x in kept.get(g, [])):
+            kept.setdefault(g, []).append((k, p))
+    want = sorted(k for v in kept.values() for k, _ in v)
+    assert [r[0] for r in collect(curation.fuzzy_dedup(df), "key")] == want
+    monkeypatch.setattr(curation, "ROUND_TITLES", 37)
+    monkeypatch.setattr(curation, "MAX_KEPT", 5)
+    assert [r[0] for r in collect(curation.fuzzy_dedup(df), "key")] == want
