@@ -18,6 +18,8 @@ from ..session import broadcast_if_small, materialize
 
 #: A group with more rows than this is ranked in value buckets, each of its own task.
 HOT_ROWS = 20_000
+#: Most buckets of a hot group.
+MOST_CUTS = 4096
 
 
 def _clean(c: str) -> Column:
@@ -45,46 +47,62 @@ def score_ranks(rows: DataFrame, n_scores: int, hot_rows: int = HOT_ROWS) -> Dat
     """Adds n (items of the group) and r0, r1, ...: 1 + the number of items with
     a better score, ties sharing the rank; a missing score has rank n.
 
-    Groups of more than hot_rows items are cut at quantiles of their values (a
-    mergeable sketch), ranked bucket by bucket and shifted by the sizes of the
-    better buckets, so no task sorts a whole hot group.
+    Groups of up to hot_rows items are ranked by windows over one shuffle by
+    group.  Larger ones are cut at quantiles of their values (a mergeable
+    sketch), the more cuts the more items, ranked bucket by bucket and shifted by
+    the sizes of the better buckets, so no task sorts a whole hot group.  Items
+    of one value share a bucket and a rank.
     """
-    counts = materialize(rows.groupBy("g").agg(F.count("*").alias("n")))
-    s = [f"s{i}" for i in range(n_scores)]
-    hot = broadcast_if_small(counts.where(F.col("n") > hot_rows), 100_000)
-    pieces = F.greatest(F.lit(2), F.ceil(F.max("n") / hot_rows)).cast("int")
-    grid = [i / 64 for i in range(1, 64)]
-    cuts = (
-        rows.join(hot, "g")
-        .groupBy("g")
-        .agg(pieces.alias("pieces"), *[F.percentile_approx(c, grid, 2000).alias(f"c{c}") for c in s])
-    )
-    long = rows.select(
-        "g",
-        "item",
-        F.posexplode(F.array(*s)).alias("which", "value"),
+    rows = materialize(rows)
+    counts = materialize(rows.groupBy("g").agg(F.count("*").alias("n")).where(F.col("n") > hot_rows))
+    most = counts.agg(F.max("n")).first()[0]
+    group = Window.partitionBy("g")
+    hot = broadcast_if_small(counts, 100_000) if most else counts
+    cold = (rows.join(hot, "g", "left_anti") if most else rows).withColumn("n", F.count("*").over(group))
+    cold = cold.withColumns(
+        {
+            f"r{i}": F.when(F.col(f"s{i}").isNull(), F.col("n")).otherwise(F.rank().over(group.orderBy(F.desc_nulls_last(f"s{i}")))).cast("long")
+            for i in range(n_scores)
+        }
     )
+    if not most:
+        return cold
+    pieces = min(MOST_CUTS, 2 * -(-most // hot_rows))
+    return cold.unionByName(_bucket_ranks(rows.join(hot, "g"), n_scores, pieces))
+
+
+def _bucket_ranks(rows: DataFrame, n_scores: int, pieces: int) -> DataFrame:
+    """score_ranks of hot groups; rows has n already."""
+    s = [f"s{i}" for i in range(n_scores)]
+    grid = [i / pieces for i in range(1, pieces)]
+    cuts = rows.groupBy("g").agg(*[F.percentile_approx(c, grid, max(2000, 10 * pieces)).alias(f"c{c}") for c in s])
+    long = rows.select("g", "item", F.posexplode(F.array(*s)).alias("which", "value"))
     cut_long = materialize(
         cuts.select("g", F.posexplode(F.array(*[f"c{c}" for c in s])).alias("which", "cuts")).where("cuts is not null")
     )
-    given = long.where("value is not null").join(broadcast_if_small(cut_long, 50_000), ["g", "which"], "left")
+    given = long.where("value is not null").join(broadcast_if_small(cut_long, 5_000_000 // pieces), ["g", "which"], "left")
     # Bucket 0 holds the best values; equal values always share a bucket.
     given = given.withColumn(
         "bucket", F.coalesce(F.size(F.filter("cuts", lambda c: c > F.col("value"))), F.lit(0))
     ).drop("cuts")
-    sizes = given.groupBy("g", "which", "bucket").agg(F.count("*").alias("size"))
+    # Equal values are counted before they are shuffled, so one value is one row of its bucket.
+    values = given.groupBy("g", "which", "bucket", "value").agg(F.count("*").alias("times"))
+    sizes = materialize(values.groupBy("g", "which", "bucket").agg(F.sum("times").alias("size")))
     before = Window.partitionBy("g", "which").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.withColumn("better", F.coalesce(F.sum("size").over(before), F.lit(0))).drop("size")
-    inside = Window.partitionBy("g", "which", "bucket").orderBy(F.desc("value"))
-    ranked = (
-        given.withColumn("inner", F.rank().over(inside))
-        .join(offsets, ["g", "which", "bucket"])
-        .select("g", "item", "which", (F.col("inner") + F.col("better")).alias("r"))
+    inside = Window.partitionBy("g", "which", "bucket").orderBy(F.desc("value")).rowsBetween(Window.unboundedPreceding, -1)
+    ranks = (
+        values.withColumn("inner", F.coalesce(F.sum("times").over(inside), F.lit(0)) + 1)
+        .join(broadcast_if_small(offsets, 200_000), ["g", "which", "bucket"])
+        .select("g", "which", "value", (F.col("inner") + F.col("better")).alias("r"))
     )
-    wide = ranked.groupBy("g", "item").agg(
-        *[F.max(F.when(F.col("which") == i, F.col("r"))).alias(f"r{i}") for i in range(n_scores)]
+    wide = (
+        long.where("value is not null")
+        .join(ranks, ["g", "which", "value"])
+        .groupBy("g", "item")
+        .agg(*[F.max(F.when(F.col("which") == i, F.col("r"))).alias(f"r{i}") for i in range(n_scores)])
     )
-    out = rows.join(wide, ["g", "item"], "left").join(broadcast_if_small(counts, 100_000), "g")
+    out = rows.join(wide, ["g", "item"], "left")
     return out.withColumns({f"r{i}": F.coalesce(F.col(f"r{i}"), F.col("n")).cast("long") for i in range(n_scores)})
 
 
@@ -156,6 +174,7 @@ def certain_first(aggregated: DataFrame, k: int, n_scores: int) -> DataFrame:
     on a score, all of them are among its k best, else the k + 1 best hold k of them.
     """
     r = [f"r{i}" for i in range(n_scores)]
+    aggregated = materialize(aggregated.select("g", "item", "log_p", "mean_rank", *r))
     best = Window.partitionBy("g", "which").orderBy("rank", "other")
     vector = [F.col(c).alias(f"o{c}") for c in r]
     front = (
