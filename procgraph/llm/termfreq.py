@@ -14,7 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from ..session import filled
+from ..session import filled, materialize
 
 
 def fold(term: str | None) -> str | None:
@@ -54,7 +54,10 @@ def count_terms(pairs: DataFrame, known: DataFrame) -> DataFrame:
     exist in known (one column, record).  A term without any has 0.
     """
     known = known.select(F.col("record")).where("record is not null").distinct().withColumn("known", F.lit(1))
-    named = pairs.join(known, "record", "left").select("term", "record", "times", F.coalesce("known", F.lit(0)).alias("known"))
+    # Written once: the range partitioning reads its input twice.
+    named = materialize(
+        pairs.join(known, "record", "left").select("term", "record", "times", F.coalesce("known", F.lit(0)).alias("known"))
+    )
     ordered = named.repartitionByRange("term", "record").sortWithinPartitions("term", "record")
 
     def runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
