@@ -124,9 +124,12 @@ def pack(lengths: DataFrame, key: str, capacity: int = 2048) -> DataFrame:
     without tokens need no space: they get one row with a null container.  Ties
     are placed in the order of key; repeated keys are items of their own.
 
-    lengths is written once, since planning and placing must agree.
+    lengths is written once, so that texts are tokenized once though the range
+    partitioning reads them twice; the placed pieces are too, since planning and
+    placing must agree.
     """
     spark: SparkSession = lengths.sparkSession
+    lengths = materialize(lengths)
     n = F.col("n_tokens")
     pieces = F.greatest(F.lit(1), F.ceil(n / capacity)).cast("int")
     items = materialize(
