@@ -130,7 +130,7 @@ def split_oversized(
     count in the text without white space at its ends.  Texts within the limit,
     null and blank texts give no row: they are used whole.  Rows with the same
     key count once, the one with the greatest version (then the greatest text)
-    winning; a null key is a key of its own.
+    winning; each row with a null key counts by itself.
 
     Short texts are dropped in the JVM, before anything is shuffled or sent to
     Python; other columns are never read.
@@ -139,12 +139,9 @@ def split_oversized(
         raise ValueError("overlap must be at least 0 and below limit")
     body = trimmed(F.col(f"`{text}`"))
     order = F.struct(*([F.col(f"`{version}`").alias("v")] if version else []), body.alias("t"))
-    long = (
-        df.where(F.length(body) > limit)
-        .select(F.col(f"`{key}`").alias("k"), order.alias("o"))
-        .groupBy("k")
-        .agg(F.max("o")["t"].alias("t"))
-    )
+    rows = df.where(F.length(body) > limit).select(F.col(f"`{key}`").alias("k"), order.alias("o"))
+    keyed = rows.where("k is not null").groupBy("k").agg(F.max("o")["t"].alias("t"))
+    long = keyed.unionByName(rows.where("k is null").select("k", F.col("o.t").alias("t")))
 
     def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
