@@ -112,8 +112,10 @@ def keyword_stats(spark: SparkSession, d: str) -> DataFrame:
 
 
 def keyword_lookup(spark: SparkSession, d: str) -> DataFrame:
-    """All chunks filed under exactly a keyword that batch 1 wrote."""
-    wanted = read(spark, d, "keyword_entries").where("batch = 'BATCH-0001'").select("keyword")
+    """All chunks filed under exactly a keyword of the stated query set: entries
+    whose number is divisible by 50."""
+    number = F.regexp_extract("entry_key", r"(\d+)$", 1).cast("long")
+    wanted = read(spark, d, "keyword_entries").where(number % EVERY == 0).select("keyword")
     return lexical.lookup(_chunk_keywords(spark, d), wanted.where("keyword is not null"))
 
 
@@ -124,21 +126,22 @@ def new_chunks(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def _long_words(c: Column) -> Column:
-    """Distinct words of 5 or more letters; the place in the list is the order."""
-    return F.array_distinct(F.filter(lexical.tokens(c), lambda t: t.rlike("^[a-z]{5,}$")))
+def _words(c: Column) -> Column:
+    """Distinct tokens of two or more characters, in any script; the place in the
+    list is the order."""
+    return F.array_distinct(F.filter(lexical.tokens(c), lambda t: F.length(t) >= 2))
 
 
 def entity_retrieval(spark: SparkSession, d: str) -> DataFrame:
     """Words of questions -> the 5 most specific keywords that hold them -> their
     chunks, ranked by the words that chunk and question share."""
     q = read(spark, d, "qa_pairs").where("question is not null").groupBy(F.col("id").alias("query_id")).agg(F.min("question").alias("question"))
-    words = q.select("query_id", F.posexplode(_long_words(F.col("question"))).alias("pos", "word"))
+    words = q.select("query_id", F.posexplode(_words(F.col("question"))).alias("pos", "word"))
     kws = materialize(_chunk_keywords(spark, d))
     sized = kws.groupBy("keyword").agg(F.count("*").alias("n"))
     first = graph.Window.partitionBy("word").orderBy("n", "keyword")
     similar = (
-        sized.select("keyword", "n", F.explode(_long_words(F.col("keyword"))).alias("word"))
+        sized.select("keyword", "n", F.explode(_words(F.col("keyword"))).alias("word"))
         .withColumn("rank", F.row_number().over(first))
         .where("rank <= 5")
         .select("word", "keyword", "rank")
@@ -320,23 +323,33 @@ def graph_stats(spark: SparkSession, d: str) -> DataFrame:
 # Budgets
 
 
-def _budget_rows(spark: SparkSession, d: str) -> DataFrame:
-    """Each query's first 100 chunks with token counts."""
+def _budget_rows(spark: SparkSession, d: str, fit: int, least: int = 0, tiers: bool = False) -> DataFrame:
+    """Each query's results with a text, its token count and tier.
+
+    Only the budget limits them: a row takes separator tokens or least tokens at
+    any rate, so beyond the first fit rows (of a tier) none can be taken, and a
+    query with a tenth of all results is cut before it is shuffled."""
     texts = _chunks(spark, d).where("text is not null").select("id", text.proxy_tokens(F.col("text")).alias("tokens"))
-    return _ranked(spark, d, "vector_score", 100).select("query_id", "id", "rank").join(texts, "id")
+    best = F.round(F.max(F.when(~F.isnan("vector_score"), F.col("vector_score"))), 9).alias("score")
+    rows = read(spark, d, "retrieval_results").where("query_id is not null and id is not null").groupBy("query_id", "id").agg(best)
+    rows = rows.where("score is not null").join(texts.where(F.col("tokens") >= least), "id")
+    rows = rows.withColumn("tier", F.when(F.col("id").startswith("BATCH"), 0).otherwise(1) if tiers else F.lit(0))
+    w = graph.Window.partitionBy("query_id", "tier").orderBy(F.desc("score"), "id")
+    return rows.withColumn("n", F.row_number().over(w)).where(F.col("n") <= fit).select("query_id", "id", "score", "tokens", "tier")
 
 
 def budget_prefix(spark: SparkSession, d: str) -> DataFrame:
-    return budget.prefix(_budget_rows(spark, d), ["query_id"], [F.col("rank")], "tokens", 700)
+    rows = _budget_rows(spark, d, 700 // budget.SEPARATOR + 2).drop("tier")
+    return budget.prefix(rows, ["query_id"], [F.desc("score"), F.col("id")], "tokens", 700)
 
 
 def budget_supplement(spark: SparkSession, d: str) -> DataFrame:
-    return budget.supplement(_budget_rows(spark, d), ["query_id"], [F.col("rank")], "tokens", 900, least=60)
+    return budget.supplement(_budget_rows(spark, d, 900 // 60 + 2, 60).drop("tier"), ["query_id"], [F.desc("score"), F.col("id")], "tokens", 900, least=60)
 
 
 def budget_two_tier(spark: SparkSession, d: str) -> DataFrame:
-    rows = _budget_rows(spark, d).withColumn("tier", F.when(F.col("id").startswith("BATCH"), 0).otherwise(1))
-    return budget.two_tier(rows, ["query_id"], [F.col("rank")], "tokens", 1000, rest=30)
+    rows = _budget_rows(spark, d, 1000 // budget.SEPARATOR + 2, tiers=True)
+    return budget.two_tier(rows, ["query_id"], [F.desc("score"), F.col("id")], "tokens", 1000, rest=30)
 
 
 # Questions, logs, curation

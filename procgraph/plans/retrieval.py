@@ -7,9 +7,10 @@ sequential per question and parallel over questions.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import answer_instructions, collapse_blanks, proxy_tokens, question_type, truncate_to_tokens
@@ -21,6 +22,10 @@ from .config import RetrievalConfig
 from .generate import keyword_boost
 
 
+#: Share of the budget that must be left for another anchor once the texts suffice.
+LEFT_SHARE = 0.15
+
+
 @dataclass
 class Store:
     """Tables of a build: nodes (name, node_type, source_tg, properties), edges
@@ -39,9 +44,22 @@ class Store:
 
 
 class Retriever:
-    def __init__(self, store: Store, embedder: EmbeddingProvider, config: RetrievalConfig | None = None, model: LanguageModel | None = None):
+    """policy, a language model, chooses the next nodes of a walk; without one the
+    neighbour most similar to the question is taken.  tokens counts a column's
+    tokens: the offline proxy, or functions.text.token_counter of a ranks file."""
+
+    def __init__(
+        self,
+        store: Store,
+        embedder: EmbeddingProvider,
+        config: RetrievalConfig | None = None,
+        model: LanguageModel | None = None,
+        policy: LanguageModel | None = None,
+        tokens: Callable[[Column], Column] = proxy_tokens,
+    ):
         self.store, self.embedder = store, embedder
         self.config, self.model = config or RetrievalConfig(), model or EchoModel()
+        self.policy, self.tokens = policy, tokens
 
     def questions(self, asked: DataFrame) -> DataFrame:
         """(query_id, question, q) with the question's vector; written once."""
@@ -145,10 +163,10 @@ class Retriever:
         rows = rows.select("query_id", "id", "text", "tokens", F.round(cosine(F.col("q"), F.col("v")), 6).alias("score"))
         return search.top_k(rows, self.config.chunks_per_node)
 
-    def _next(self, at: DataFrame, asked: DataFrame, most: int = 5) -> DataFrame:
-        """R5, R6 with the deterministic policy: of the first successors and
-        predecessors not yet visited the one most similar to the question, else
-        the first; (query_id, next)."""
+    def _candidates(self, at: DataFrame, most: int = 5) -> DataFrame:
+        """(query_id, next, n, side): successors (side 0) and predecessors (1) of
+        the current node that its walk has not visited; the full_context strategy
+        shows the first few of each."""
         sides = []
         for direction, place in (("forward", 0), ("backward", 1)):
             step = graph.directed(self.store.edges, direction).select(F.col("a").alias("node"), F.col("b").alias("next"), "ord")
@@ -157,36 +175,99 @@ class Retriever:
             near = near.withColumn("n", F.row_number().over(w))
             near = near.where(F.col("n") <= most) if self.config.strategy == "full_context" else near
             sides.append(near.select("query_id", "next", "n", F.lit(place).alias("side")))
-        both = sides[0].unionByName(sides[1])
+        return sides[0].unionByName(sides[1])
+
+    def _next(self, near: DataFrame, asked: DataFrame) -> DataFrame:
+        """R5, R6 with the deterministic policy: of the candidates the one most
+        similar to the question, else the first; (query_id, next)."""
         scored = (
-            both.join(self.store.node_vec.select(F.col("name").alias("next"), "v"), "next", "left")
+            near.join(self.store.node_vec.select(F.col("name").alias("next"), "v"), "next", "left")
             .join(asked.select("query_id", "q"), "query_id")
             .withColumn("s", F.round(cosine(F.col("q"), F.col("v")), 6))
         )
         return graph.first_per(scored, ["query_id"], [F.desc("s"), F.col("side"), F.col("n"), F.col("next")]).select("query_id", "next")
 
+    def _told(self, at: DataFrame, near: DataFrame, asked: DataFrame, new: DataFrame) -> DataFrame:
+        """R5, R6 with a policy: (query_id, next, sufficient, failed).  The model
+        gets the question, the node's new texts and the candidates, and answers
+        {"sufficient": bool, "next_nodes": [name]}; the first named candidate
+        counts, with or without brackets.  A call that fails or gives no object is
+        failed."""
+        names = F.transform(F.array_sort(F.collect_list(F.struct("side", "n", "next"))), lambda c: c["next"])
+        listed = near.groupBy("query_id").agg(names.alias("names"))
+        texts = new.groupBy("query_id").agg(F.array_join(F.array_sort(F.collect_list("text")), "\n").alias("texts"))
+        full = at.select("query_id", "node").join(asked.select("query_id", "question"), "query_id").join(listed, "query_id", "left").join(texts, "query_id", "left")
+        prompt = F.concat_ws(
+            "\n", F.lit("<question>"), "question", F.lit("</question>\n<node>"), "node", F.coalesce("texts", F.lit("")), F.lit("</node>\n<candidates>"),
+            F.array_join("names", "\n"),
+            F.lit('</candidates>\nReply in JSON: {"sufficient": whether the texts answer the question, "next_nodes": [candidate to visit]}'),
+        )
+        full = materialize(full.withColumn("prompt", prompt))
+        said = map_column(full, "query_id", "prompt", self.policy.complete)
+        j = F.from_json(F.regexp_extract(F.coalesce("output", F.lit("")), r"(?s)\{.*\}", 0), "sufficient boolean, next_nodes array<string>")
+        bare = lambda x: F.regexp_replace(x, r"^[\s\[\]【】]+|[\s\[\]【】]+$", "")
+        got = said.withColumn("j", j).join(full.select("query_id", F.coalesce("names", F.array().cast("array<string>")).alias("names")), "query_id")
+        named = F.coalesce(F.col("j.next_nodes"), F.array().cast("array<string>"))
+        valid = F.filter(F.transform(named, lambda x: F.when(F.array_contains("names", x), x).otherwise(bare(x))), lambda x: F.array_contains("names", x))
+        failed = ~F.col("success") | F.col("j").isNull() | (F.col("j.sufficient").isNull() & F.col("j.next_nodes").isNull())
+        return got.select(
+            "query_id", F.get(valid, F.lit(0)).alias("next"), F.coalesce("j.sufficient", F.lit(False)).alias("sufficient"), failed.alias("failed")
+        )
+
+    def _choose(self, at: DataFrame, asked: DataFrame, new: DataFrame) -> DataFrame:
+        """(query_id, next, sufficient, stack): where each walk goes; null ends it.
+
+        step_by_step keeps the successors it passed over on a stack.  Where the
+        choice is empty or failed it takes the first unvisited successor, then the
+        latest unvisited branch of the stack (R9).  full_context then leaves the
+        anchor."""
+        near = materialize(self._candidates(at))
+        if self.policy is None:
+            choice = self._next(near, asked).withColumns({"sufficient": F.lit(False), "failed": F.lit(False)})
+        else:
+            choice = materialize(self._told(at, near, asked, new))
+        out = at.join(choice, "query_id", "left").withColumn("sufficient", F.coalesce("sufficient", F.lit(False)))
+        if self.config.strategy == "full_context":
+            return out.select("query_id", F.when(~F.col("sufficient"), F.col("next")).alias("next"), "sufficient", "stack")
+        after = F.transform(F.array_sort(F.collect_list(F.struct("n", "next"))), lambda c: c["next"])
+        ahead = near.where("side = 0").groupBy("query_id").agg(after.alias("ahead"))
+        none = F.array().cast("array<string>")
+        out = out.join(ahead, "query_id", "left").withColumn("ahead", F.coalesce("ahead", none))
+        open_ = F.filter("stack", lambda x: ~F.array_contains("path", x))
+        out = out.withColumn("stack", open_)
+        goal = F.coalesce("next", F.get("ahead", F.lit(0)), F.try_element_at("stack", F.lit(-1)))
+        out = out.withColumn("goal", goal)
+        rest = F.filter("ahead", lambda x: x != F.col("goal"))
+        stack = F.concat(F.filter("stack", lambda x: (x != F.col("goal")) & ~F.array_contains("ahead", x)), F.reverse(rest))
+        return out.select("query_id", F.when(~F.col("sufficient"), F.col("goal")).alias("next"), "sufficient", F.coalesce(stack, none).alias("stack"))
+
     def walk(self, asked: DataFrame) -> dict[str, DataFrame]:
         """Knowledge (query_id, id, text, tokens, score),
         paths (query_id, anchor, path) and spent tokens (query_id, used).
 
         Anchors in turn, at most hops nodes each.  A node's chunks are collected
-        before its tokens are checked (Q-19); a walk ends at its budget or where
-        no unvisited neighbour is left.
+        before its tokens are checked (Q-19); a walk ends at its budget, where no
+        unvisited neighbour is left, or where the policy finds the texts sufficient.
+        A sufficient question goes on with its next anchor while more than
+        LEFT_SHARE of its budget is left (R11); enough (query_id) lists them.
         """
         c = self.config
-        chunks = self.store.chunks.where("text is not null").select("id", "text", proxy_tokens(F.col("text")).alias("tokens"))
+        chunks = self.store.chunks.where("text is not null").select("id", "text", self.tokens(F.col("text")).alias("tokens"))
         starts = materialize(self.anchors(asked, c.anchors).select("query_id", "id", "score", "rank"))
         used = asked.select("query_id", F.lit(0).cast("long").alias("used"))
         known = None
         paths = []
+        enough = asked.select("query_id").where("false")
         for a in range(c.anchors):
             share = F.greatest(F.lit(800), F.floor((F.lit(c.context_tokens) - F.col("used")) / (c.anchors - a) * 1.4))
             at = (
                 starts.where(F.col("rank") == a + 1)
                 .join(used.where(F.col("used") < c.context_tokens), "query_id")
+                .join(enough.join(used.where(F.col("used") > (1 - LEFT_SHARE) * c.context_tokens), "query_id").select("query_id"), "query_id", "left_anti")
                 .select(
                     "query_id", F.col("id").alias("node"), F.array("id").alias("path"),
                     F.least(F.lit(c.context_tokens), F.col("used") + share).alias("most"),
+                    F.array().cast("array<string>").alias("stack"),
                 )
             )
             for _ in range(c.hops):
@@ -197,7 +278,7 @@ class Retriever:
                 seen = known.select("query_id", "id") if known is not None else empty
                 new = materialize(self._knowledge(at, seen, asked, chunks).drop("rank"))
                 known = new if known is None else materialize(known.unionByName(new))
-                cost = at.select("query_id", (proxy_tokens(F.col("node")) + 15).alias("t")).unionByName(
+                cost = at.select("query_id", (self.tokens(F.col("node")) + 15).alias("t")).unionByName(
                     new.select("query_id", F.col("tokens").alias("t"))
                 )
                 used = materialize(
@@ -206,11 +287,14 @@ class Retriever:
                     )
                 )
                 alive = at.join(used, "query_id").where(F.col("used") <= F.col("most")).drop("used")
-                moved = alive.join(self._next(alive, asked), "query_id", "left")
+                choice = materialize(self._choose(alive, asked, new))
+                moved = alive.drop("stack").join(choice, "query_id", "left")
+                if self.policy is not None:
+                    enough = materialize(enough.unionByName(choice.where("sufficient").select("query_id")).distinct())
                 ended = at.join(moved.where("next is not null").select("query_id"), "query_id", "left_anti")
                 paths.append(materialize(ended.select("query_id", F.lit(a + 1).alias("anchor"), "path")))
                 at = moved.where("next is not null").select(
-                    "query_id", F.col("next").alias("node"), F.array_append("path", F.col("next")).alias("path"), "most"
+                    "query_id", F.col("next").alias("node"), F.array_append("path", F.col("next")).alias("path"), "most", "stack"
                 )
             paths.append(at.select("query_id", F.lit(a + 1).alias("anchor"), "path"))
         walked = paths[0]
@@ -218,7 +302,7 @@ class Retriever:
             walked = walked.unionByName(p)
         if known is None:
             known = chunks.select(F.lit(None).cast("string").alias("query_id"), "id", "text", "tokens", F.lit(0.0).alias("score")).where("false")
-        return {"knowledge": known, "paths": walked, "used": used}
+        return {"knowledge": known, "paths": walked, "used": used, "enough": enough}
 
     def reasoning(self, asked: DataFrame) -> dict[str, DataFrame]:
         """Walk, gap filling (J7), vector supplement (W4, R12), rescoring
@@ -226,7 +310,7 @@ class Retriever:
         c = self.config
         w = self.walk(asked)
         graph_rows = w["knowledge"].withColumn("source_type", F.lit("enrichment"))
-        texts = self.store.chunks.where("text is not null").select("id", "text", proxy_tokens(F.col("text")).alias("tokens"))
+        texts = self.store.chunks.where("text is not null").select("id", "text", self.tokens(F.col("text")).alias("tokens"))
         gap = self.entity_branch(asked, c.gap_top_k).select("query_id", "id", "score", "rank").join(texts, "id")
         room = gap.join(w["used"], "query_id").withColumn("room", F.lit(c.context_tokens) - F.col("used")).drop("used")
         gap = budget.prefix(room, ["query_id"], [F.col("rank")], "tokens", F.col("room"), 0)
@@ -234,11 +318,12 @@ class Retriever:
         known = materialize(fusion.first_wins([graph_rows, gap], ["query_id", "id"]))
         near = search.search(asked, self.store.chunk_vec, c.supplement_top_k)
         fresh = fusion.unseen(near, known, ["query_id", "id"]).join(texts, "id")
-        fresh = fresh.withColumn("text", collapse_blanks(F.col("text"))).withColumn("tokens", proxy_tokens(F.col("text")))
+        fresh = fresh.withColumn("text", collapse_blanks(F.col("text"))).withColumn("tokens", self.tokens(F.col("text")))
         spent = gap.groupBy("query_id").agg(F.sum("tokens").alias("filled"))
         spent = w["used"].join(spent, "query_id", "left").select("query_id", (F.col("used") + F.coalesce("filled", F.lit(0))).alias("used"))
-        cap = budget.supplement_budget(c.context_tokens, F.col("used"), F.lit(False))
-        fresh = fresh.join(spent, "query_id").withColumn("cap", cap)
+        spent = spent.join(w["enough"].withColumn("enough", F.lit(True)), "query_id", "left")
+        cap = budget.supplement_budget(c.context_tokens, F.col("used"), F.coalesce("enough", F.lit(False)))
+        fresh = fresh.join(spent, "query_id").withColumn("cap", cap).drop("enough")
         extra = budget.supplement(fresh, ["query_id"], [F.col("rank")], "tokens", F.col("cap"), self.config.supplement_least)
         extra = extra.withColumn("text", F.when(F.col("cut"), truncate_to_tokens(F.col("text"), F.col("taken"))).otherwise(F.col("text")))
         extra = extra.select("query_id", "id", "text", F.col("taken").alias("tokens"), "score").withColumn("source_type", F.lit("vector_supplement"))
@@ -283,7 +368,7 @@ class Retriever:
             found = self.retrieve(asked, mode)
             texts = self.store.chunks.select("id", "text").unionByName(self.store.nodes.select(F.col("name").alias("id"), F.col("name").alias("text")))
             rows = found.select("query_id", "id", "rank").join(texts.where("text is not null"), "id")
-            rows = rows.withColumn("tokens", proxy_tokens(F.col("text")))
+            rows = rows.withColumn("tokens", self.tokens(F.col("text")))
             limit = max(0, self.config.context_tokens - budget.ANSWER_OVERHEAD)
             kept = budget.prefix(rows, ["query_id"], [F.col("rank"), F.col("id")], "tokens", limit)
             parts = F.array_sort(F.collect_list(F.struct("rank", "id", "text")))

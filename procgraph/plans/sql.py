@@ -73,15 +73,15 @@ k AS (SELECT DISTINCT {strip('keyword')} AS keyword, chunk_id
       WHERE {strip('keyword')} <> '' AND chunk_id IS NOT NULL)"""
 
 _TOKENS = "list_filter(regexp_split_to_array(lower({0}), '[\\s\\x0B，。！？；：、（）【】《》\"]+'), lambda x: x <> '')"
-_LONG = "list_filter(" + _TOKENS + ", lambda x: regexp_full_match(x, '[a-z]{{5,}}'))"
+_LONG = "list_filter(" + _TOKENS + ", lambda x: length(x) >= 2)"
 
 _PROXY = (
     "CAST(floor((CASE WHEN " + strip("text") + " = '' THEN 0 ELSE len(regexp_split_to_array(" + strip("text")
     + r", '[\s\x0B\p{Z}\x{0085}]+')) END) * 1.15::DOUBLE) AS BIGINT)"
 )
 _BUDGET = (
-    "WITH " + ranked("q", "vector_score", 100) + "," + _CHUNKS_EXACT
-    + f", b AS (SELECT q.query_id, q.id, q.rank, {_PROXY} AS tokens FROM q JOIN c USING (id) WHERE c.text IS NOT NULL)"
+    "WITH " + ranked("q", "vector_score", 10**9) + "," + _CHUNKS_EXACT
+    + f", b AS (SELECT q.query_id, q.id, q.score, q.rank, {_PROXY} AS tokens FROM q JOIN c USING (id) WHERE c.text IS NOT NULL)"
 )
 
 _TITLE = strip("regexp_replace(split_part(text, chr(10), 1), '^#+\\s*', '')")
@@ -160,7 +160,8 @@ SELECT count(DISTINCT keyword) AS n_keywords, count(DISTINCT chunk_id) AS n_chun
        round(count(*) / count(DISTINCT chunk_id), 2) AS keywords_per_chunk FROM k""",
     "keyword_lookup": "WITH " + _KW + f"""
 SELECT DISTINCT k.keyword, k.chunk_id FROM k
-WHERE keyword IN (SELECT {strip('keyword')} FROM keyword_entries WHERE batch = 'BATCH-0001')""",
+WHERE keyword IN (SELECT {strip('keyword')} FROM keyword_entries
+                  WHERE TRY_CAST(regexp_extract(entry_key, '([0-9]+)$', 1) AS BIGINT) % 50 = 0)""",
     "new_chunks": "WITH " + _KW + " SELECT DISTINCT id AS chunk_id FROM text_chunks WHERE id IS NOT NULL AND id NOT IN (SELECT chunk_id FROM k)",
     "entity_retrieval": "WITH " + _KW + "," + _CHUNKS_EXACT + f""",
 q AS (SELECT id AS query_id, min(question) AS question FROM qa_pairs WHERE question IS NOT NULL GROUP BY id),
@@ -256,11 +257,11 @@ UNION ALL SELECT 'with_vector', count(*) FILTER (len(embedding) > 0) FROM graph_
     "budget_prefix": _BUDGET + """,
 u AS (SELECT *, CAST(sum(tokens) OVER w + 6 * (count(*) OVER w - 1) AS BIGINT) AS used FROM b
       WINDOW w AS (PARTITION BY query_id ORDER BY rank ROWS UNBOUNDED PRECEDING))
-SELECT query_id, id, rank, tokens, used FROM u WHERE used <= 700""",
+SELECT query_id, id, score, tokens, used FROM u WHERE used <= 700""",
     "budget_supplement": _BUDGET + """,
 u AS (SELECT *, CAST(900 - coalesce(sum(tokens) OVER (PARTITION BY query_id ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS l
       FROM b WHERE tokens >= 60)
-SELECT query_id, id, rank, tokens, least(tokens, l) AS taken, tokens > l AS cut FROM u WHERE l > 0 AND (tokens <= l OR l >= 50)""",
+SELECT query_id, id, score, tokens, least(tokens, l) AS taken, tokens > l AS cut FROM u WHERE l > 0 AND (tokens <= l OR l >= 50)""",
     "budget_two_tier": _BUDGET + """,
 x AS (SELECT *, CASE WHEN starts_with(id, 'BATCH') THEN 0 ELSE 1 END AS tier FROM b),
 w AS (SELECT *, sum(tokens) OVER t AS total, count(*) OVER t AS n FROM x
@@ -274,8 +275,8 @@ o AS (SELECT w.*, coalesce(s.spent, 0) + total + 6 * (n - CASE WHEN s.spent IS N
       FROM w LEFT JOIN s USING (query_id) WHERE tier = 1),
 of AS (SELECT *, used <= lim AS fits, lim - (used - tokens) AS l, coalesce(lag(used <= lim) OVER (PARTITION BY query_id ORDER BY rank), true) AS prev FROM o),
 ot AS (SELECT *, CASE WHEN fits THEN tokens ELSE l END AS taken FROM of WHERE fits OR (prev AND l > 30))
-SELECT query_id, id, rank, tokens, tier, CAST(taken AS BIGINT) AS taken, NOT fits AS cut FROM zt
-UNION ALL SELECT query_id, id, rank, tokens, tier, CAST(taken AS BIGINT), NOT fits FROM ot""",
+SELECT query_id, id, score, tokens, tier, CAST(taken AS BIGINT) AS taken, NOT fits AS cut FROM zt
+UNION ALL SELECT query_id, id, score, tokens, tier, CAST(taken AS BIGINT), NOT fits FROM ot""",
     "causal_context": "WITH RECURSIVE " + _EDGES + "," + ranked("q", "vector_score", 50) + """,
 f AS (SELECT query_id, id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS n FROM q
       WHERE id IN (SELECT name FROM graph_nodes)) WHERE n <= 3),""" + _PATHS.format(start="id", starts="f", to="dst", frm="src", most=5).replace("p AS", "pf AS").replace("FROM p JOIN", "FROM pf JOIN").replace("p.", "pf.").replace("FROM p)", "FROM pf)").replace("b AS", "bf AS") + "," + _PATHS.format(start="id", starts="f", to="src", frm="dst", most=5) + """

@@ -4,12 +4,13 @@ import sys
 import numpy as np
 import pytest
 from pyspark import cloudpickle
+from pyspark.sql import functions as F
 
 from procgraph import providers, schemas
 from procgraph.functions.splitters import Splitter
 from procgraph.plans.build import build
 from procgraph.plans.config import BuildConfig, RetrievalConfig
-from procgraph.plans.retrieval import Retriever
+from procgraph.plans.retrieval import Retriever, Store
 from procgraph.sources import files
 from procgraph.streaming import ingest
 
@@ -152,3 +153,72 @@ def test_providers():
     assert not providers.finished("length") and providers.finished("stop")
     c = providers.CallableEmbedding(lambda t: [[float(len(x)), 0.0] for x in t], 2, batch=2, query_prefix="q: ")
     assert c.embed(["a", "bb", "ccc"])[:, 0].tolist() == [1, 2, 3] and c.embed_query("a")[0] == 4
+
+
+class Policy:
+    """Answers by the node that a prompt shows."""
+
+    def __init__(self, said):
+        self.said = said
+
+    def complete(self, prompt):
+        node = prompt.split("<node>\n")[1].split("\n")[0]
+        out = self.said.get(node, "{}")
+        if out == "fail":
+            raise RuntimeError("no answer")
+        return out
+
+
+def walk(spark, said, strategy, hops=6, tokens=5000):
+    """A walk from a over a -> b, a -> c, b -> d, c -> e; every node has one chunk."""
+    emb = providers.HashEmbedding(16)
+    names = [(n,) for n in "abcde"]
+    nodes = spark.createDataFrame([(n, "event", ["T"], {}) for (n,) in names], "name string, node_type string, source_tg array<string>, properties map<string,string>")
+    edges = spark.createDataFrame([("a", "b", 0), ("a", "c", 1), ("b", "d", 0), ("c", "e", 0)], "src string, dst string, ord long")
+    vec = spark.createDataFrame([(n, emb.embed([n])[0].tolist()) for (n,) in names], "name string, v array<double>")
+    chunks = spark.createDataFrame([(f"k{n}", f"text of {n}") for (n,) in names], "id string, text string")
+    chunk_vec = spark.createDataFrame([(f"k{n}", emb.embed([f"text of {n}"])[0].tolist()) for (n,) in names], "id string, v array<double>")
+    mounts = spark.createDataFrame([(n, f"k{n}", 1) for (n,) in names], "name string, chunk_id string, rank int")
+    store = Store(nodes, edges, vec, chunks, chunk_vec, mounts, spark.createDataFrame([], "chunk_id string, keyword string"), spark.createDataFrame([], "keyword string, v array<double>"))
+    config = RetrievalConfig(anchors=1, hops=hops, strategy=strategy, context_tokens=tokens)
+    r = Retriever(store, emb, config, policy=Policy(said) if said is not None else None)
+    r.anchors = lambda asked, k: asked.select("query_id", F.lit("a").alias("id"), F.lit(1.0).alias("score"), F.lit(1).alias("rank"))
+    out = r.walk(r.questions(spark.createDataFrame([("q", "Which text is it?")], "query_id string, question string")))
+    return out["paths"].first().path, sorted(x.id for x in out["knowledge"].collect()), out["enough"].count()
+
+
+def test_policy_chooses_the_next_node(spark):
+    said = {"a": 'I go on. {"next_nodes": ["[c]"]}', "c": '{"sufficient": false, "next_nodes": ["zz", "e"]}', "e": '{"sufficient": true}'}
+    assert walk(spark, said, "full_context") == (list("ace"), ["ka", "kc", "ke"], 1)
+
+
+def test_full_context_leaves_the_anchor_where_a_call_fails(spark):
+    assert walk(spark, {"a": '{"next_nodes": ["b"]}', "b": "fail"}, "full_context") == (list("ab"), ["ka", "kb"], 0)
+    assert walk(spark, {"a": "no object"}, "full_context")[0] == ["a"]
+
+
+def test_step_by_step_goes_back_to_open_branches(spark):
+    assert walk(spark, {"a": "fail"}, "step_by_step")[0] == list("abdce")  # first successors, then the branch passed over
+    assert walk(spark, {"a": '{"next_nodes": ["c"]}'}, "step_by_step")[0] == list("acebd")
+    assert walk(spark, {"a": '{"next_nodes": ["b"]}', "d": '{"sufficient": true}'}, "step_by_step") == (list("abd"), ["ka", "kb", "kd"], 1)
+    assert set(walk(spark, None, "step_by_step")[0]) == set("abcde")
+
+
+def test_incremental_build_equals_the_whole_build(spark, tmp_path, collect):
+    for k, v in TEXTS.items():
+        (tmp_path / f"{k}.txt").write_text(v)
+    emb = providers.HashEmbedding()
+    all_files = files.read_texts(spark, str(tmp_path))
+    whole, _ = build(all_files, emb, generate)
+    one, outcome = build(all_files.where("tg_id = 'TG-1'"), emb, generate)
+    log = outcome.select(F.concat("item", F.lit(".txt")).alias("source_file"), "success")
+    two, _ = build(all_files, emb, generate, log=log, into=one)
+    assert collect(two.nodes, "name", "node_type", "source_tg") == collect(whole.nodes, "name", "node_type", "source_tg")
+    assert collect(two.edges, "src", "dst") == collect(whole.edges, "src", "dst")
+    assert collect(two.chunks, "id", "text") == collect(whole.chunks, "id", "text")
+    assert collect(two.mounts, "name", "chunk_id") == collect(whole.mounts, "name", "chunk_id")
+    assert collect(two.chunk_kw, "chunk_id", "keyword") == collect(whole.chunk_kw, "chunk_id", "keyword")
+    a, b = ({r.name: r.v for r in x.node_vec.collect()} for x in (two, whole))
+    assert a.keys() == b.keys() and all(np.allclose(a[n], b[n], atol=1e-6) for n in a)
+    again, _ = build(all_files.where("tg_id = 'TG-2'"), emb, generate, into=two)
+    assert collect(again.chunks, "id") == collect(whole.chunks, "id") and collect(again.edges, "src", "dst") == collect(whole.edges, "src", "dst")
