@@ -194,13 +194,11 @@ def test_policy_chooses_the_next_node(spark):
 
 def test_full_context_leaves_the_anchor_where_a_call_fails(spark):
     assert walk(spark, {"a": '{"next_nodes": ["b"]}', "b": "fail"}, "full_context") == (list("ab"), ["ka", "kb"], 0)
-    assert walk(spark, {"a": "no object"}, "full_context")[0] == ["a"]
 
 
 def test_step_by_step_goes_back_to_open_branches(spark):
     assert walk(spark, {"a": "fail"}, "step_by_step")[0] == list("abdce")  # first successors, then the branch passed over
     assert walk(spark, {"a": '{"next_nodes": ["c"]}'}, "step_by_step")[0] == list("acebd")
-    assert walk(spark, {"a": '{"next_nodes": ["b"]}', "d": '{"sufficient": true}'}, "step_by_step") == (list("abd"), ["ka", "kb", "kd"], 1)
     assert set(walk(spark, None, "step_by_step")[0]) == set("abcde")
 
 
@@ -220,5 +218,3 @@ def test_incremental_build_equals_the_whole_build(spark, tmp_path, collect):
     assert collect(two.chunk_kw, "chunk_id", "keyword") == collect(whole.chunk_kw, "chunk_id", "keyword")
     a, b = ({r.name: r.v for r in x.node_vec.collect()} for x in (two, whole))
     assert a.keys() == b.keys() and all(np.allclose(a[n], b[n], atol=1e-6) for n in a)
-    again, _ = build(all_files.where("tg_id = 'TG-2'"), emb, generate, into=two)
-    assert collect(again.chunks, "id") == collect(whole.chunks, "id") and collect(again.edges, "src", "dst") == collect(whole.edges, "src", "dst")
