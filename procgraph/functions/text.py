@@ -105,11 +105,12 @@ def format_token_count(n: Column) -> Column:
 # Words that tell the type of a question, in order of precedence.
 QUESTION_WORDS = {
     "procedural": (
-        "步骤 流程 怎么做 如何操作 操作方法 怎样进行 怎么进行 执行顺序 操作顺序 程序 需要经过 需要哪些步骤 如何执行 怎么执行"
-    ).split(),
-    "conditional": "如果 若 什么情况下 什么条件 不满足 异常时 故障时 区别 不同".split(),
-    "causal": "为什么 原因 导致 造成 引起 后果 为何 怎么会".split(),
-}
+        "步骤", "流程", "怎么做", "如何操作", "操作方法", "怎样进行", "怎么进行", "执行顺序", "操作顺序", "程序", "需要经过",
+        "需要哪些步骤", "如何执行", "怎么执行",
+    ),
+    "conditional": ("如果", "若", "什么情况下", "什么条件", "不满足", "异常时", "故障时", "区别", "不同"),
+    "causal": ("为什么", "原因", "导致", "造成", "引起", "后果", "为何", "怎么会"),
+}
 
 
 def question_type(c: Column) -> Column:
@@ -142,8 +143,8 @@ def answer_instructions(kind: Column) -> Column:
 
 # Headers that a diagram may have, parts of which it must hold one, and placeholders.
 DIAGRAM_HEADERS = (
-    "flowchart graph sequencediagram classdiagram statediagram erdiagram journey gantt pie mindmap".split()
-)
+    "flowchart", "graph", "sequencediagram", "classdiagram", "statediagram", "erdiagram", "journey", "gantt", "pie", "mindmap",
+)
 DIAGRAM_PARTS = ("-->", "-.>", "==>", "->>", "-->>>", "[", "{")
 DIAGRAM_PLACEHOLDERS = ("...", "…", "......", "[待补充]", "[placeholder]", "todo", "tbd")
 
@@ -195,7 +196,9 @@ NODE_TYPES = {
     "parameter": "parameter", "设备": "equipment", "人员": "event", "物质": "event", "事件": "event",
     "条件": "condition", "判断": "condition", "参数": "parameter", "约束": "constraint",
 }
-CAUSAL_WORDS, TRIGGER_WORDS = "导致|引发|造成|引起|产生|影响", "触发|启动|激活|开始"
+# Words of a relation that make an edge causal or a trigger.
+CAUSAL_WORDS = ("导致", "引发", "造成", "引起", "产生", "影响")
+TRIGGER_WORDS = ("触发", "启动", "激活", "开始")
 
 
 def node_type(c: Column) -> Column:
@@ -208,8 +211,8 @@ def edge_type(kind: Column, relation: Column) -> Column:
     """the relation's words decide, then the type, else causal."""
     r, k = F.lower(F.coalesce(relation, F.lit(""))), F.lower(strip(F.coalesce(kind, F.lit(""))))
     return (
-        F.when(r.rlike(CAUSAL_WORDS), "causal")
-        .when(r.rlike(TRIGGER_WORDS), "triggers")
+        F.when(r.rlike("|".join(CAUSAL_WORDS)), "causal")
+        .when(r.rlike("|".join(TRIGGER_WORDS)), "triggers")
         .when(k.isin("causal", "triggers", "has_condition", "related"), k)
         .otherwise("causal")
     )

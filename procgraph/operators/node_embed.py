@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,11 +12,11 @@ from .graph import rings
 
 
 def mean_vector(rows: DataFrame, keys: list[str], vector: str) -> DataFrame:
-    """Mean vector per key, position by position (partial aggregates)."""
-    flat = rows.select(*keys, F.posexplode(F.col(vector).cast("array<double>")).alias("p", "x"))
-    by_position = flat.groupBy(*keys, "p").agg(F.avg("x").alias("x"))
-    ordered = F.array_sort(F.collect_list(F.struct("p", "x")))
-    return by_position.groupBy(*keys).agg(F.transform(ordered, lambda s: s["x"]).alias("v"))
+    """Mean vector per key; partial sums of whole vectors are shuffled, not
+    one row per position.  Missing vectors do not count."""
+    given = rows.where(F.col(vector).isNotNull())
+    mean = Summarizer.mean(array_to_vector(F.col(vector).cast("array<double>")))
+    return given.groupBy(*keys).agg(mean.alias("m")).select(*keys, vector_to_array("m").alias("v"))
 
 
 def add(a: Column, b: Column, factor: Column | float = 1.0) -> Column:
@@ -36,11 +38,8 @@ def residual_vectors(base: DataFrame, edges: DataFrame, gamma: float = 0.5, hops
     members = near.join(own, "name").select(F.col("start").alias("name"), "hop", "e")
     means = mean_vector(members, ["name", "hop"], "e")
     weight = F.pow(F.lit(float(gamma)), F.col("hop"))
-    parts = means.select("name", F.posexplode("v").alias("p", "x"), weight.alias("w"))
-    ring_sum = parts.groupBy("name", "p").agg(F.sum(F.col("x") * F.col("w")).alias("x"))
-    ring_vec = ring_sum.groupBy("name").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("p", "x"))), lambda s: s["x"]).alias("r")
-    )
+    total = Summarizer.sum(array_to_vector("v"), weight)
+    ring_vec = means.groupBy("name").agg(total.alias("m")).select("name", vector_to_array("m").alias("r"))
     joined = own.join(ring_vec, "name", "left").withColumn("h", F.when(F.col("r").isNull(), F.col("e")).otherwise(add(F.col("e"), F.col("r"))))
     return joined.select("name", F.when(norm(F.col("h")) > 1e-10, normalized(F.col("h"))).otherwise(normalized(F.col("e"))).alias("v"))
 

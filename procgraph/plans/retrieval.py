@@ -221,7 +221,9 @@ class Retriever:
         choice is empty or failed it takes the first unvisited successor, then the
         latest unvisited branch of the stack (R9).  full_context then leaves the
         anchor."""
-        near = materialize(self._candidates(at))
+        near = self._candidates(at)
+        if self.policy is not None or self.config.strategy == "step_by_step":
+            near = materialize(near)
         if self.policy is None:
             choice = self._next(near, asked).withColumns({"sufficient": F.lit(False), "failed": F.lit(False)})
         else:
@@ -287,10 +289,11 @@ class Retriever:
                     )
                 )
                 alive = at.join(used, "query_id").where(F.col("used") <= F.col("most")).drop("used")
-                choice = materialize(self._choose(alive, asked, new))
-                moved = alive.drop("stack").join(choice, "query_id", "left")
+                choice = self._choose(alive, asked, new)
                 if self.policy is not None:
+                    choice = materialize(choice)
                     enough = materialize(enough.unionByName(choice.where("sufficient").select("query_id")).distinct())
+                moved = alive.drop("stack").join(choice, "query_id", "left")
                 ended = at.join(moved.where("next is not null").select("query_id"), "query_id", "left_anti")
                 paths.append(materialize(ended.select("query_id", F.lit(a + 1).alias("anchor"), "path")))
                 at = moved.where("next is not null").select(
