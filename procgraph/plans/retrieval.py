@@ -272,8 +272,8 @@ class Retriever:
                     F.array().cast("array<string>").alias("stack"),
                 )
             )
+            at = materialize(at)
             for _ in range(c.hops):
-                at = materialize(at)
                 if at.isEmpty():
                     break
                 empty = at.select("query_id", F.lit("").alias("id")).where("false")
@@ -293,9 +293,9 @@ class Retriever:
                 if self.policy is not None:
                     choice = materialize(choice)
                     enough = materialize(enough.unionByName(choice.where("sufficient").select("query_id")).distinct())
-                moved = alive.drop("stack").join(choice, "query_id", "left")
+                moved = materialize(alive.drop("stack").join(choice, "query_id", "left"))
                 ended = at.join(moved.where("next is not null").select("query_id"), "query_id", "left_anti")
-                paths.append(materialize(ended.select("query_id", F.lit(a + 1).alias("anchor"), "path")))
+                paths.append(ended.select("query_id", F.lit(a + 1).alias("anchor"), "path"))
                 at = moved.where("next is not null").select(
                     "query_id", F.col("next").alias("node"), F.array_append("path", F.col("next")).alias("path"), "most", "stack"
                 )
