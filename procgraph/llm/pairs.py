@@ -28,8 +28,6 @@ from pyspark.sql import functions as F
 from .terminal import CJK, Model, breaks_off, fit, passages, tokens
 from ..session import broadcast_if_small, filled, materialize
 
-FIT_ROWS = 10_000
-
 # Labels before an answer.
 LABEL = re.compile(
     r"^\s*(?:(?:final\s+)?answer|response|reply|a|antwort|respuesta|回答|答案|答复|答)\s*[:：]\s*", re.I
@@ -287,14 +285,14 @@ def is_bare(text: str) -> bool:
     return few and t[-1] not in FUNCTION
 
 
-def judged_pairs(pairs: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
+def judged_pairs(pairs: DataFrame) -> DataFrame:
     """Adds defect to pairs (pair_table, pair_id, question, answer); null where
     the pair is sound.
 
     A missing answer is empty; a missing question only rules out copy and
     language.  Repeated rows of a pair count once (the smallest answer wins where
-    they differ), so every pair has one row.  The terminal contexts are learnt
-    from at most about fit_rows pairs; every pair is judged on its whole text.
+    they differ), so every pair has one row.  The terminal contexts are counted
+    over all pairs; every pair is judged on its whole text.
     """
     # Only keys are shuffled to find those with more than one row.
     named = ["pair_table", "pair_id"]
@@ -306,7 +304,7 @@ def judged_pairs(pairs: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
     one = pairs.where("pair_table is null or pair_id is null").groupBy(*named).agg(first).select(*named, "p.question", "p.answer")
     one = one.unionByName(pairs.dropna(subset=named).join(several, named, "left_anti").select(*cols)).unionByName(merged)
     text = F.concat_ws("\n", "question", "answer")
-    model = pairs.sparkSession.sparkContext.broadcast(fit(pairs.select(text.alias("t")), "t", None, fit_rows))
+    model = pairs.sparkSession.sparkContext.broadcast(fit(pairs.select(text.alias("t")), "t"))
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = model.value

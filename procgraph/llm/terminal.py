@@ -10,10 +10,10 @@ Kinds whose units end either way are decided by terminal contexts, a model
 fitted without labels.  Inside a text every sentence end and line end shows how
 complete passages end, and every other position shows how they do not; so for
 the last tokens of a text the share of ends among all inner occurrences of those
-tokens tells whether the text breaks off.  The contexts and first words are a
-classifier fitted on a bounded sample (`fit_rows` texts, at random by hash);
-words, word beginnings and baselines are counted over all texts.  It is applied
-to every text.
+tokens tells whether the text breaks off.  Contexts, first words, words, word
+beginnings and baselines are counted over all texts; only contexts and first
+words that the end of some text asks for are kept, the others never count.  The
+model is applied to every text.
 """
 
 from __future__ import annotations
@@ -29,12 +29,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from ..session import filled
 
-#: Texts the model is fitted on, at most (in expectation).
-FIT_ROWS = 10_000
 ORDERS = (7, 4, 2, 1)
 BEGIN = "\x02"
 STARTS = (6, 3, 2)
 END_SHARE = 0.05
+#: Occurrences from which a context or first words tell anything.
+LEAST_SEEN = 3
+#: 64-bit words of the filter of asked contexts (16 MB); keys that collide in it are sorted out when counts are added.
+SLOTS = 1 << 21
+#: Texts and characters that are counted at once.
+BLOCK_TEXTS, BLOCK_CHARS = 2000, 1 << 22
 #: Units of a source and kind from which a baseline is taken, else all sources together count.
 LEAST_UNITS = 20
 #: From which share of terminated units a missing terminator is a cut, and up to which it says nothing.
@@ -68,16 +72,19 @@ def normal(x: str) -> str:
 
 
 def passages(text: str) -> list[tuple[str, bool, bool]]:
-    """(passage, ends with a stop, followed by more of the text) of a text."""
+    """(passage, ends with a stop, followed by more of the text) of a text.  Dots
+    that mark the end of a text as cut are no stop."""
     out = []
     lines = [x.strip() for x in text.splitlines()]
     last = max((i for i, x in enumerate(lines) if x), default=-1)
     for i, line in enumerate(lines[: last + 1]):
-        line = MARKER.sub("", line, count=1) if MARKER.match(line) else line
+        if m := MARKER.match(line):
+            line = line[m.end() :]
         parts = [p for p in SENTENCE.split(line) if p]
         for j, p in enumerate(parts):
-            bare = p.rstrip(CLOSERS + " ")
-            out.append((p, bare[-1:] in STOPS and bool(bare), i < last or j < len(parts) - 1))
+            inner = i < last or j < len(parts) - 1
+            stop = stopped(p) and (inner or not CUT_MARK.search(p[-40:]))
+            out.append((p, stop, inner))
     return out
 
 
@@ -125,6 +132,14 @@ def context_key(seq: list[str], order: int) -> int:
     return h >> 1
 
 
+def start_key(t: list[str]) -> int:
+    """Key of the first words t of a passage."""
+    h = token_hash(f"start {len(t)}")
+    for k, x in enumerate(t):
+        h = (h + token_hash(x) * PLACES[k]) & MASK
+    return h >> 1
+
+
 def last_part(text: str) -> tuple[str, str]:
     """The last line of a text without its marker, and the passage it ends in."""
     line = text.splitlines()[-1].strip()
@@ -138,39 +153,97 @@ def visible(text: str) -> str:
     return text.rstrip().rstrip("​﻿‎‏").rstrip()
 
 
-def frequencies(texts: list[str], sources: list[str | None]) -> dict[str, np.ndarray]:
+def asked_keys(text: str | None) -> list[int]:
+    """Keys of all contexts and first words that `breaks_off` may look up for a text."""
+    shown = visible(text) if text else ""
+    if not shown:
+        return []
+    last = last_part(shown)[1]
+    bare = last.rstrip(CLOSERS + " ")
+    if bare[-1:] in STOPS and bare:
+        if bare[-1] != "." or not bare[:-1].rstrip()[-1:].isdigit():
+            return []
+        seq = [BEGIN, *tokens(bare[:-1])]
+        return [context_key(seq, n) for n in ORDERS]
+    seq = [BEGIN, *tokens(last)]
+    if len(seq) == 1:
+        return []
+    return [context_key(seq, n) for n in ORDERS] + [start_key(seq[1 : n + 1]) for n in STARTS]
+
+
+def asked_contexts(texts: list[str]) -> dict[str, np.ndarray]:
+    return {"k": np.unique(np.array([k for t in texts for k in asked_keys(t)], np.int64))}
+
+
+class Numbers(dict):
+    """Numbers of tokens by their raw form, and the tokens by their numbers."""
+
+    def __init__(self):
+        self.names, self.known = [BEGIN], {BEGIN: 0}
+
+    def __missing__(self, raw: str) -> int:
+        name = normal(raw)
+        n = self[raw] = self.known.setdefault(name, len(self.names))
+        if n == len(self.names):
+            self.names.append(name)
+        return n
+
+
+class Stream:
+    """The passages of texts end to end, each behind a BEGIN, as numbers of tokens."""
+
+    def __init__(self, texts: list[str]):
+        number, stream, sizes, stops, whole = Numbers(), [], [], [], []
+        for text in texts:
+            if not text:
+                continue
+            for passage, stop, inner in passages(text):
+                t = TOKEN.findall(passage.rstrip(CLOSERS + " ").rstrip(STOPS) if stop else passage)
+                if not t:
+                    continue
+                stream.append(0)
+                stream += map(number.__getitem__, t)
+                sizes.append(len(t))
+                stops.append(stop)
+                whole.append(stop or inner)
+        self.names = number.names
+        self.numbers = np.array(stream, np.int64)
+        self.sizes, self.stops, self.whole = np.array(sizes, np.int64), np.array(stops, bool), np.array(whole, bool)
+
+
+def frequencies(texts: list[str], sources: list[str | None], stream: Stream | None = None) -> dict[str, np.ndarray]:
     """k, e, a, asked: counts of words, word beginnings and units of sources; asked
     marks units and the words that a text ends in, the only ones that are looked
     up.  Texts without source (None) have no baseline."""
-    raw: Counter = Counter()
     ends: Counter = Counter()
     seen: Counter = Counter()
     last: Counter = Counter()
+    words: Counter = Counter()
     for text, source in zip(texts, sources):
         if not text:
             continue
         if source is not None:
             for line in [x.strip() for x in text.splitlines() if x.strip()][:-1]:
-                kind = kind_of(line)
-                stop = stopped(line)
-                for x in (source, ALL_SOURCES):
-                    seen[x, kind] += 1
-                    ends[x, kind] += stop
-        raw.update(TOKEN.findall(text))
+                unit = source, kind_of(line)
+                seen[unit] += 1
+                ends[unit] += stopped(line)
         if shown := visible(text):
             end = last_part(shown)[1]
-            if not stopped(end) and (t := TOKEN.findall(end)):
-                raw[t[-1]] -= 1  # it may be cut
-            last.update(tokens(end)[-1:])
-    words: Counter = Counter()
-    for w, n in raw.items():
-        if n:
-            words[normal(w)] += n
+            if t := tokens(end):
+                last[t[-1]] += 1
+                if not stopped(end):
+                    words[t[-1]] -= 1  # it may be cut
+    for (source, kind), n in list(seen.items()):
+        seen[ALL_SOURCES, kind] += n
+        ends[ALL_SOURCES, kind] += ends[source, kind]
+    stream = stream or Stream(texts)
+    for w, n in zip(stream.names, np.bincount(stream.numbers, minlength=len(stream.names)).tolist()):
+        words[w] += n
+    words = Counter({w: n for w, n in words.items() if n and (w[0].isalpha() or w[0] == "@")})  # no others are looked up
     begins: Counter = Counter()
     for w, n in words.items():
-        if len(w) > 1 and (w[0].isalpha() or w[0] == "@"):
-            for i in range(1, len(w)):
-                begins[w[:i]] += n
+        for i in range(1, len(w)):
+            begins[w[:i]] += n
     rows = [(key("b", *x), ends[x], n, 1) for x, n in seen.items()]
     rows += [(key("w", w), n, n, int(w in last)) for w, n in words.items()]
     rows += [(key("p", b), n, n, int(b in last)) for b, n in begins.items()]
@@ -180,56 +253,79 @@ def frequencies(texts: list[str], sources: list[str | None]) -> dict[str, np.nda
     return {"k": table[:, 0], "e": table[:, 1], "a": table[:, 2], "asked": table[:, 3]}
 
 
-def evidence(texts: list[str]) -> dict[str, np.ndarray]:
-    """k, e, a: key, ends and all occurrences of contexts and first words.
-    Contexts are hashed for all positions at once."""
-    ends: Counter = Counter()
-    seen: Counter = Counter()
-    stream: list[str] = []
-    inside: list[int] = []  # places from the passage's BEGIN
-    last: list[int] = []  # 1 where a passage ends, -1 where its end is the text's and has no stop
-    for text in texts:
-        if not text:
-            continue
-        for passage, stopped, inner in passages(text):
-            t = tokens(passage.rstrip(CLOSERS + " ").rstrip(STOPS)) if stopped else tokens(passage)
-            if not t:
-                continue
-            for n in STARTS:
-                if n <= len(t) or n == STARTS[-1]:
-                    seen[("s", *t[:n])] += 1
-                    ends[("s", *t[:n])] += stopped
-            whole = stopped or inner
-            stream.append(BEGIN)
-            stream += t
-            inside += range(len(t) + 1)
-            last += [0] * len(t) + [1 if whole else -1]
-    rows = [(key(*c), ends.get(c, 0), n) for c, n in seen.items()]
-    parts = [np.array(rows, np.int64).reshape(-1, 3)]
-    if stream:
-        hashes = {w: token_hash(w) for w in set(stream)}
-        h = np.array([hashes[w] for w in stream], np.uint64)
-        depth, mark = np.array(inside), np.array(last)
-        at = np.flatnonzero((depth > 0) & (mark >= 0))
-        is_end = mark[at] == 1
+def evidence(texts: list[str], stream: Stream | None = None, filter_: np.ndarray | None = None) -> dict[str, np.ndarray]:
+    """k, e, a: key, ends and all occurrences of contexts and first words, with a
+    filter only of those it holds.  They are hashed for all positions at once."""
+    stream = stream or Stream(texts)
+    parts: list[np.ndarray] = [np.empty((0, 3), np.int64)]
+
+    def add(total: np.ndarray, is_end: np.ndarray) -> None:
+        keys = (total >> np.uint64(1)).astype(np.int64)
+        if filter_ is not None:
+            hit = np.flatnonzero(filter_[(keys >> 6) & (SLOTS - 1)] >> (keys & 63) & 1)
+            keys, is_end = keys[hit], is_end[hit]
+        keys, where, count = np.unique(keys, return_inverse=True, return_counts=True)
+        parts.append(np.stack([keys, np.bincount(where, is_end, len(keys)).astype(np.int64), count], 1))
+
+    sizes = stream.sizes
+    if len(sizes):
+        h = np.array(list(map(token_hash, stream.names)), np.uint64)[stream.numbers]
+        begin = np.cumsum(sizes + 1) - sizes - 1
+        depth = np.arange(len(h)) - np.repeat(begin, sizes + 1)
+        is_end = np.zeros(len(h), bool)
+        is_end[begin + sizes] = True
+        counted = depth > 0
+        counted[(begin + sizes)[~stream.whole]] = False  # the text's end, without a stop
+        at = np.flatnonzero(counted)
+        is_end, depth = is_end[at], depth[at]
         with np.errstate(over="ignore"):
-            for n in ORDERS:
-                total = np.full(len(at), token_hash(f"order {n}"), np.uint64)
+            total = np.zeros(len(at), np.uint64)
+            for k in range(max(ORDERS)):
+                step = h[np.maximum(at - k, 0)]
+                step *= np.uint64(PLACES[k])
+                step[depth < k] = 0
+                total += step
+                if k + 1 in ORDERS:
+                    add(total + np.uint64(token_hash(f"order {k + 1}")), is_end)
+            for n in STARTS:
+                long = np.flatnonzero(sizes >= (1 if n == STARTS[-1] else n))
+                size = np.minimum(sizes[long], n)
+                base = np.array([token_hash(f"start {i}") for i in range(n + 1)], np.uint64)
+                total = base[size]
                 for k in range(n):
-                    has = depth[at] >= k
-                    total[has] += h[at[has] - k] * np.uint64(PLACES[k])
-                keys, where, count = np.unique((total >> np.uint64(1)).astype(np.int64), return_inverse=True, return_counts=True)
-                parts.append(np.stack([keys, np.bincount(where, is_end, len(keys)).astype(np.int64), count], 1))
+                    has = size > k
+                    total[has] += h[begin[long[has]] + 1 + k] * np.uint64(PLACES[k])
+                add(total, stream.stops[long])
     table = np.concatenate(parts)
     return {"k": table[:, 0], "e": table[:, 1], "a": table[:, 2]}
 
 
+def counts(texts: list[str], sources: list[str | None], fitted: list[bool], filter_: np.ndarray) -> dict[str, np.ndarray]:
+    """k, e, a, asked: frequencies of all texts (asked 1) and evidence of the fitted
+    ones with the contexts that any of them asks for (asked 2)."""
+    stream = Stream(texts)
+    known = frequencies(texts, sources, stream)
+    if not all(fitted):
+        texts_in = [t for t, f in zip(texts, fitted) if f]
+        seen = evidence(texts_in, None, filter_)
+    else:
+        seen = evidence(texts, stream, filter_)
+    asked = asked_contexts(texts)["k"]
+    none, some = np.zeros(len(asked), np.int64), np.zeros(len(seen["k"]), np.int64)
+    return {
+        "k": np.concatenate([known["k"], seen["k"], asked]),
+        "e": np.concatenate([known["e"], seen["e"], none]),
+        "a": np.concatenate([known["a"], seen["a"], none]),
+        "asked": np.concatenate([known["asked"], some, none + 2]),
+    }
+
+
 class Model:
     """Looks up (ends, all) by key."""
 
     def __init__(self, keys: np.ndarray, ends: np.ndarray, total: np.ndarray):
         order = np.argsort(keys)
-        self.keys, self.ends, self.total = keys[order], ends[order].astype(np.int32), total[order].astype(np.int32)
+        self.keys, self.ends, self.total = keys[order], ends[order], total[order]
 
     def get(self, *parts: str) -> tuple[int, int]:
         return self.at(key(*parts))
@@ -238,15 +334,15 @@ class Model:
         i = int(np.searchsorted(self.keys, k))
         return (int(self.ends[i]), int(self.total[i])) if i < len(self.keys) and self.keys[i] == k else (0, 0)
 
-    def start_share(self, t: list[str], least: int = 3) -> tuple[float, int]:
+    def start_share(self, t: list[str], least: int = LEAST_SEEN) -> tuple[float, int]:
         """Share of passages with these first words that end with a stop."""
         for n in STARTS:
-            e, a = self.get("s", *t[:n])
+            e, a = self.at(start_key(t[:n]))
             if a >= least:
                 return e / a, a
         return 0.0, 0
 
-    def end_share(self, seq: list[str], orders: tuple[int, ...] = ORDERS[:-1], least: int = 3) -> tuple[float, int] | None:
+    def end_share(self, seq: list[str], orders: tuple[int, ...] = ORDERS[:-1], least: int = LEAST_SEEN) -> tuple[float, int] | None:
         """Share of ends and occurrences of the longest context with enough of them."""
         for n in orders:
             e, a = self.at(context_key(seq, n))
@@ -273,48 +369,61 @@ class Model:
         return longer > 0 and longer >= self.get("f", word)[1] and self.get("w", word)[1] <= CUT_RATIO * longer
 
 
-def fit(df: DataFrame, text: str, source: str | None = None, fit_rows: int = FIT_ROWS) -> Model:
-    """Model whose contexts come from at most about fit_rows texts, sampled by a hash
-    of the text, and whose words and sources are counted over all texts.
+def by_block(count):
+    """A mapInPandas function that counts some texts (the first column) at a time."""
 
-    Counts are added inside each batch, then per key; contexts met once and words
-    that no text ends in are dropped.  What reaches the driver is bounded by the
-    sample and by the different last words.
-    """
-    total = df.count()
-    sampled = df
-    if total > fit_rows:
-        sampled = df.where(F.pmod(F.xxhash64(F.col(f"`{text}`")), F.lit(1_000_000)) < int(1e6 * fit_rows / total))
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            first = pdf.iloc[:, 0].tolist()
+            low = chars = 0
+            for high, t in enumerate([*first, None], 1):
+                chars += len(t or "")
+                if high - low >= BLOCK_TEXTS or chars >= BLOCK_CHARS or high > len(first):
+                    some = pdf.iloc[low:high]
+                    yield pd.DataFrame(count(*(some[c].tolist() for c in pdf)))
+                    low, chars = high, 0
 
-    def by_batch(counts):
-        def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                for low in range(0, len(pdf), 2000):
-                    some = pdf.iloc[low : low + 2000]
-                    yield pd.DataFrame(counts(*(some[c].tolist() for c in pdf)))
+    return filled(run)
 
-        return filled(count)
 
-    where = F.coalesce(F.col(f"`{source}`").cast("string"), F.lit("")) if source else F.lit(None)
-    tasks = df.sparkSession.sparkContext.defaultParallelism
-    contexts = (
-        sampled.select(F.col(f"`{text}`").alias("t"))
-        .repartition(tasks)  # the sample is bounded; a single input file must not make a single task
-        .mapInPandas(by_batch(evidence), "k long, e long, a long")
-        .withColumn("asked", F.lit(1).cast("long"))
-    )
-    words = df.select(F.col(f"`{text}`").alias("t"), where.cast("string").alias("s")).mapInPandas(
-        by_batch(frequencies), "k long, e long, a long, asked long"
+def asked_filter(df: DataFrame, text: str) -> np.ndarray:
+    """Bits of all contexts and first words that the texts' ends ask for, of fixed size."""
+    keys = df.select(F.col(f"`{text}`").alias("t")).mapInPandas(by_block(asked_contexts), "k long")
+    slots = (
+        keys.groupBy(F.expr(f"shiftright(k, 6) & {SLOTS - 1}L").alias("slot"))
+        .agg(F.expr("bit_or(shiftleft(1L, cast(k & 63 as int)))").alias("bits"))
+        .toArrow()
     )
+    out = np.zeros(SLOTS, np.int64)
+    out[slots["slot"].to_numpy()] = slots["bits"].to_numpy()
+    return out
+
+
+def fit(df: DataFrame, text: str, source: str | None = None, fit_rows: int | None = None) -> Model:
+    """Model whose contexts, words and sources are counted over all texts.  With
+    fit_rows, contexts come from about that many texts only, chosen by a hash.
+
+    A first pass marks the contexts that the texts' ends ask for in a filter of
+    fixed size, a second counts what passes it, inside each block and then per
+    key; what nothing asks for is dropped, and so are contexts met too rarely to
+    tell anything.  What reaches the driver is the filter and the counts of the
+    different last words and of the asked contexts met LEAST_SEEN times.
+    """
+    fitted = F.lit(True)
+    if fit_rows is not None and (total := df.count()) > fit_rows:
+        fitted = F.pmod(F.xxhash64(F.col(f"`{text}`")), F.lit(1_000_000)) < int(1e6 * fit_rows / total)
+    where = F.coalesce(F.col(f"`{source}`").cast("string"), F.lit("")) if source else F.lit(None)
+    bits = df.sparkSession.sparkContext.broadcast(asked_filter(df, text))
     counted = (
-        contexts.unionByName(words)
+        df.select(F.col(f"`{text}`").alias("t"), where.cast("string").alias("s"), fitted.alias("f"))
+        .mapInPandas(by_block(lambda t, s, f: counts(t, s, f, bits.value)), "k long, e long, a long, asked long")
         .groupBy("k")
         .agg(F.sum("e").alias("e"), F.sum("a").alias("a"), F.max("asked").alias("asked"))
-        .where("asked > 0 and (a > 1 or e > 0)")
+        .where(f"asked = 1 and (a > 1 or e > 0) or asked = 2 and a >= {LEAST_SEEN}")
         .select("k", "e", "a")
-        .toPandas()
+        .toArrow()
     )
-    return Model(*(counted[c].to_numpy("int64") for c in ("k", "e", "a")))
+    return Model(*(counted[c].to_numpy() for c in ("k", "e", "a")))
 
 
 # Marks that stand for lost text.

@@ -14,9 +14,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .terminal import FIT_ROWS, breaks_off, fit
+from .terminal import breaks_off, fit
 from ..session import filled
 
+#: Texts that the contexts come from, at most (in expectation).
+FIT_ROWS = 10_000
+
 
 def truncated(df: DataFrame, key: str, text: str, source: str, fit_rows: int = FIT_ROWS) -> DataFrame:
     """(key, source, reason) of every row; reason is null where the text is

@@ -179,3 +179,50 @@ def test_repeated_keys_count_once(spark, collect):
     got = collect(pairs.judged_pairs(df), "pair_table", "pair_id", "defect")
     assert got == [("a", "1", None), ("a", "2", "empty"), ("b", "1", None), ("b", "3", "empty")]
     assert pairs.judged_pairs(df.where("false")).count() == 0
+
+
+CASING = "The crew inspects the boiler casing before"
+FILLER = "concat('Pump ', id, ' is tested twice. Valve ', id, ' is shut.')"
+
+
+def test_contexts_are_counted_over_all_pairs(spark):
+    # Three of 40,003 pairs show how the sentence goes on; a sample of 10,000 pairs misses some.
+    few = [("t", f"w{k}", f"What is done on day {k}?", CASING + " dawn.") for k in range(3)] + [("t", "cut", "What is done?", CASING)]
+    schema = "pair_table string, pair_id string, question string, answer string"
+    many = spark.range(40_000).selectExpr("'t' pair_table", "cast(id as string) pair_id", "'Which pump?' question", FILLER + " answer")
+    got = pairs.judged_pairs(many.unionByName(spark.createDataFrame(few, schema))).where("defect is not null").collect()
+    assert [(r.pair_id, r.defect) for r in got] == [("cut", "truncated")]
+
+
+def test_model_has_all_asked_contexts_and_first_words(spark):
+    # Every passage is read one by one; several blocks of texts and tasks are added up.
+    texts = [t for _, t, _ in corpus(300)] + ["Samples are drawn every", "Wait 5.", "Whenever pump AG-1 is", "泵已就绪，请等待", "", " ", None]
+    seen = {}
+
+    def add(k, end):
+        e, a = seen.get(k, (0, 0))
+        seen[k] = (e + end, a + 1)
+
+    for text in filter(None, texts):
+        for passage, stop, inner in terminal.passages(text):
+            t = terminal.tokens(passage.rstrip(terminal.CLOSERS + " ").rstrip(terminal.STOPS) if stop else passage)
+            for n in terminal.STARTS if t else ():
+                if n <= len(t) or n == terminal.STARTS[-1]:
+                    add(terminal.start_key(t[:n]), stop)
+            for i in range(1, len(t) + (stop or inner)):
+                for n in terminal.ORDERS:
+                    add(terminal.context_key([terminal.BEGIN, *t[:i]], n), i == len(t))
+    df = spark.createDataFrame([(t,) for t in texts], "t string").repartition(5)
+    model = terminal.fit(df, "t")
+    asked = {k for t in texts for k in terminal.asked_keys(t)}
+    want = {k: seen[k] for k in asked if seen.get(k, (0, 0))[1] >= terminal.LEAST_SEEN}
+    assert len(want) > 20 and {k: model.at(k) for k in want} == want
+    assert all(model.at(k) == (0, 0) for k in seen.keys() - want.keys())
+
+
+def test_cut_marks_show_no_ends():
+    assert terminal.passages("Valve shut. Any leak found at...") == [("Valve shut.", True, True), ("Any leak found at...", False, False)]
+    assert terminal.passages("Any leak found at [...]")[-1][1] is False
+    # One text with a mark must not make the same cut passage without it a complete one.
+    texts = [f"Any leak found at pump {k} is stopped." for k in range(9)] + ["Any leak found at..."]
+    assert terminal.breaks_off("Any leak found at", _model(texts, ["a"] * 10), "a") == "sentence"
