@@ -49,9 +49,13 @@ CUT_RATIO = 0.01
 
 CJK = "぀-ヿ㐀-鿿가-힯"
 TOKEN = re.compile(rf"[A-Za-z]{{1,4}}-\d+|[{CJK}]|(?:(?![{CJK}])[^\W\d_])+|\d+(?:[.,]\d+)*|[^\w\s]|_")
+#: The same for texts without CJK characters.
+PLAIN_TOKEN = re.compile(r"[A-Za-z]{1,4}-\d+|[^\W\d_]+|\d+(?:[.,]\d+)*|[^\w\s]|_")
+HAS_CJK = re.compile(f"[{CJK}]")
 CODE = re.compile(r"[A-Za-z]{1,4}-\d+$")
 MARKER = re.compile(r"(?:[>\-*•!#+]+\s+|\d+\s*[.)\-:]\s+|\d+(?:\.\d+)+\s+)+")
-SENTENCE = re.compile(r"(?<=[.!?])[\"”’)]*\s+|(?<=[。！？])(?=.)")
+#: The stop that ends a sentence inside a line, and what lies before the next sentence.
+SENTENCE = re.compile(r"[.!?][\"”’)]*\s+|[。！？](?=.)")
 STOPS = ".!?。！？"
 CLOSERS = "\"'”’」』）)]»“"
 
@@ -59,7 +63,12 @@ CLOSERS = "\"'”’」』）)]»“"
 def tokens(passage: str) -> list[str]:
     """Words in lower case, single CJK characters, punctuation; numbers become 0
     and codes keep only the number of their digits."""
-    return [normal(x) for x in TOKEN.findall(passage)]
+    return [normal(x) for x in splitter(passage)(passage)]
+
+
+def splitter(text: str):
+    """What splits the text, or a part of it, into raw tokens."""
+    return (PLAIN_TOKEN if text.isascii() or not HAS_CJK.search(text) else TOKEN).findall
 
 
 def normal(x: str) -> str:
@@ -71,6 +80,15 @@ def normal(x: str) -> str:
     return x.lower()
 
 
+def sentences(line: str) -> list[str]:
+    """The sentences of a line, without what lies between them."""
+    out, low = [], 0
+    for m in SENTENCE.finditer(line):
+        out.append(line[low : m.start() + 1])
+        low = m.end()
+    return [*out, line[low:]] if low < len(line) else out
+
+
 def passages(text: str) -> list[tuple[str, bool, bool]]:
     """(passage, ends with a stop, followed by more of the text) of a text.  Dots
     that mark the end of a text as cut are no stop."""
@@ -80,7 +98,7 @@ def passages(text: str) -> list[tuple[str, bool, bool]]:
     for i, line in enumerate(lines[: last + 1]):
         if m := MARKER.match(line):
             line = line[m.end() :]
-        parts = [p for p in SENTENCE.split(line) if p]
+        parts = sentences(line)
         for j, p in enumerate(parts):
             inner = i < last or j < len(parts) - 1
             stop = stopped(p) and (inner or not CUT_MARK.search(p[-40:]))
@@ -101,7 +119,7 @@ def kind_of(line: str) -> str:
     if m := MARKER.match(line):
         kind = "step" if NUMBERED.match(m[0]) else "bullet"
         line = line[m.end() :]
-    if any(m.start() and m.end() < len(line) for m in SENTENCE.finditer(line)):
+    if (m := SENTENCE.search(line)) and m.end() < len(line):
         return kind + " text"
     return kind + " label" if LABELLED.match(line) else kind
 
@@ -144,7 +162,7 @@ def last_part(text: str) -> tuple[str, str]:
     """The last line of a text without its marker, and the passage it ends in."""
     line = text.splitlines()[-1].strip()
     body = MARKER.sub("", line, count=1) if MARKER.match(line) else line
-    parts = [p for p in SENTENCE.split(body) if p]
+    parts = sentences(body)
     return body, TAG.sub("", parts[-1]) if parts else ""
 
 
@@ -197,8 +215,9 @@ class Stream:
         for text in texts:
             if not text:
                 continue
+            split = splitter(text)
             for passage, stop, inner in passages(text):
-                t = TOKEN.findall(passage.rstrip(CLOSERS + " ").rstrip(STOPS) if stop else passage)
+                t = split(passage.rstrip(CLOSERS + " ").rstrip(STOPS) if stop else passage)
                 if not t:
                     continue
                 stream.append(0)
@@ -229,10 +248,11 @@ def frequencies(texts: list[str], sources: list[str | None], stream: Stream | No
                 ends[unit] += stopped(line)
         if shown := visible(text):
             end = last_part(shown)[1]
-            if t := tokens(end):
-                last[t[-1]] += 1
+            if t := splitter(end)(end):
+                word = normal(t[-1])
+                last[word] += 1
                 if not stopped(end):
-                    words[t[-1]] -= 1  # it may be cut
+                    words[word] -= 1  # it may be cut
     for (source, kind), n in list(seen.items()):
         seen[ALL_SOURCES, kind] += n
         ends[ALL_SOURCES, kind] += ends[source, kind]

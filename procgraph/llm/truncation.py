@@ -17,15 +17,12 @@ from pyspark.sql import functions as F
 from .terminal import breaks_off, fit
 from ..session import filled
 
-#: Texts that the contexts come from, at most (in expectation).
-FIT_ROWS = 10_000
 
-
-def truncated(df: DataFrame, key: str, text: str, source: str, fit_rows: int = FIT_ROWS) -> DataFrame:
+def truncated(df: DataFrame, key: str, text: str, source: str) -> DataFrame:
     """(key, source, reason) of every row; reason is null where the text is
-    complete.  Whole texts are read; nothing is shuffled but the model's counts.
-    Null and blank texts are complete."""
-    model = df.sparkSession.sparkContext.broadcast(fit(df, text, source, fit_rows))
+    complete.  Whole texts are read, and the model is counted over all of them;
+    nothing is shuffled but its counts.  Null and blank texts are complete."""
+    model = df.sparkSession.sparkContext.broadcast(fit(df, text, source))
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = model.value

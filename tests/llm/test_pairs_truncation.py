@@ -186,7 +186,7 @@ FILLER = "concat('Pump ', id, ' is tested twice. Valve ', id, ' is shut.')"
 
 
 def test_contexts_are_counted_over_all_pairs(spark):
-    # Three of 40,003 pairs show how the sentence goes on; a sample of 10,000 pairs misses some.
+    # Three of 40,004 pairs show how the sentence goes on; a sample of 10,000 pairs misses some.
     few = [("t", f"w{k}", f"What is done on day {k}?", CASING + " dawn.") for k in range(3)] + [("t", "cut", "What is done?", CASING)]
     schema = "pair_table string, pair_id string, question string, answer string"
     many = spark.range(40_000).selectExpr("'t' pair_table", "cast(id as string) pair_id", "'Which pump?' question", FILLER + " answer")
@@ -226,3 +226,12 @@ def test_cut_marks_show_no_ends():
     # One text with a mark must not make the same cut passage without it a complete one.
     texts = [f"Any leak found at pump {k} is stopped." for k in range(9)] + ["Any leak found at..."]
     assert terminal.breaks_off("Any leak found at", _model(texts, ["a"] * 10), "a") == "sentence"
+
+
+def test_contexts_are_counted_over_all_documents(spark):
+    # Three of 40,004 documents show how the sentence goes on; a sample of 10,000 documents misses some.
+    few = [(-1 - k, CASING + " dawn.", "wiki") for k in range(3)] + [(-9, CASING, "wiki")]
+    many = spark.range(40_000).selectExpr("id doc_id", FILLER + " text", "'wiki' source")
+    df = many.unionByName(spark.createDataFrame(few, "doc_id long, text string, source string"))
+    got = truncation.truncated(df, "doc_id", "text", "source").where("reason is not null").collect()
+    assert [(r.doc_id, r.reason) for r in got] == [(-9, "sentence")]
