@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import strip
-from ..session import filled, materialize
+from ..session import broadcast_if_small, filled, materialize
 
 #: Separators of the tokenizer that needs no dictionary.
 SEPARATORS = " \t\n\x0b\f\r，。！？；：、（）【】《》\""
@@ -20,6 +20,8 @@ SEPARATORS = " \t\n\x0b\f\r，。！？；：、（）【】《》\""
 K1, B, EPSILON = 1.5, 0.75, 0.25
 #: Queries in one broadcast and documents in one product of matrices.
 QUERY_BLOCK, DOC_BLOCK = 1000, 500
+#: Questions and chunks of a word in one group, compared rows and cells of a matrix, words in one broadcast.
+ASKED_BLOCK, HELD_BLOCK, ROW_BLOCK, CELL_BLOCK, MAX_WORDS = 20_000, 20_000, 512, 100_000, 200_000
 
 
 def tokens(c: Column) -> Column:
@@ -279,3 +281,118 @@ def entity_retrieval(
     scored = reached.join(chunk_scores.select("query_id", "id", "score"), ["query_id", "id"]).withColumn("score", F.round("score", 9))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def entity_overlap(words: DataFrame, similar: DataFrame, chunk_kw: DataFrame, texts: DataFrame, k: int) -> DataFrame:
+    """J7 with the number of shared tokens as similarity: what entity_retrieval
+    gives, without a row for every question and chunk.
+
+    words (query_id, word, pos, tokens), similar (word, keyword, rank, n, asked)
+    with the chunks of the keyword and the questions of the word, texts (id,
+    tokens); tokens are distinct and joined by a blank.
+
+    All questions of a word reach the same chunks, so these meet in groups of the
+    word, split by ASKED_BLOCK and HELD_BLOCK.  One of the k best chunks of a
+    question is among the k best under each of its words that reach it, so k rows
+    of a question leave a group and show the first keyword too.
+    """
+    size = similar.groupBy("word").agg(F.max("asked").alias("asked"), F.sum("n").alias("n"))
+    parts = size.select("word", F.ceil(F.col("asked") / ASKED_BLOCK).alias("qs"), F.ceil(F.col("n") / HELD_BLOCK).alias("cs"))
+    parts = broadcast_if_small(materialize(parts), MAX_WORDS)
+    block = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n).cast("int") - 1))
+    reached = (
+        chunk_kw.join(broadcast_if_small(similar.select("word", "keyword", "rank"), 5 * MAX_WORDS), "keyword")
+        .groupBy("word", F.col("chunk_id").alias("id"))
+        .agg(F.min(F.struct("rank", "keyword")).alias("m"))
+    )
+    held = texts.where("tokens is not null").join(reached, "id").join(parts, "word")
+    held = held.select(F.col("word").alias("word"), each("qs").alias("a"), block("id", "cs").alias("b"), "id", "m.rank", "m.keyword", "tokens")
+    asked = words.where("query_id is not null").join(parts, "word")
+    asked = asked.select(F.col("word").alias("word"), block("query_id", "qs").alias("a"), each("cs").alias("b"), "query_id", "pos", "tokens")
+    by = ["word", "a", "b"]
+    kinds = [(c, t) for f in (asked, held) for c, t in f.dtypes if c not in (*by, "tokens")]
+    schema = ", ".join(f"{c} {t}" for c, t in [*kinds, ("score", "double")])
+    found = asked.groupBy(*by).cogroup(held.groupBy(*by)).applyInArrow(_most_shared(k), schema)
+    first = found.repartition("query_id").groupBy("query_id", "id", "score").agg(F.min(F.struct("pos", "rank", "keyword"))["keyword"].alias("matched_keyword"))
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    ranked = first.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return ranked.select("query_id", "id", "matched_keyword", "score", "rank")
+
+
+def _most_shared(k: int):
+    """An Arrow function from the questions and the chunks of a word to the k chunks
+    of every question that share most tokens with it; ties go to the smaller id.
+
+    Only tokens of both sides count.  Questions that are then the same are compared
+    once, and of chunks that are then the same only the k first can be among the best.
+    """
+
+    def split(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
+        lists = pc.split_pattern(texts, " ")
+        return np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy()), lists.flatten()
+
+    def coded(owner: np.ndarray, flat: pa.Array, known: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        code = pc.fill_null(pc.index_in(flat, known), -1).to_numpy()
+        return owner[code >= 0], code[code >= 0]
+
+    def sets(owner: np.ndarray, code: np.ndarray, n: int) -> tuple[np.ndarray, list[np.ndarray]]:
+        """The number of every row's set, and the sets."""
+        order = np.lexsort((code, owner))
+        owner, code = owner[order], code[order]
+        ends = np.searchsorted(owner, np.arange(n + 1))
+        seen: dict[bytes, int] = {}
+        number = [seen.setdefault(code[a:b].tobytes(), len(seen)) for a, b in zip(ends, ends[1:])]
+        return np.array(number), [np.frombuffer(x, code.dtype) for x in seen]
+
+    def best(questions: list[np.ndarray], chunks: list[np.ndarray], n_tokens: int) -> np.ndarray:
+        """score * chunks + places before the end, of the k best of every question, else -1."""
+        n, out = len(chunks), np.full((len(questions), k), -1, np.int64)
+        length = np.array([len(x) for x in questions])
+        order, blocks = np.argsort(length, kind="stable"), []
+        for at in range(0, len(order), ROW_BLOCK):
+            some = order[at : at + ROW_BLOCK]
+            wide = np.full((len(some), length[some[-1]]), n_tokens)
+            for i, q in enumerate(some):
+                wide[i, : length[q]] = questions[q]
+            blocks.append((some, wide.T))
+        heavy = np.cumsum([len(x) for x in chunks])
+        kind, low = (np.uint8 if length.max() < 256 else np.int32), 0
+        while low < n:
+            high = max(low + 1, min(low + 2 * ROW_BLOCK, int(np.searchsorted(heavy, (heavy[low - 1] if low else 0) + CELL_BLOCK, "right"))))
+            token = np.concatenate(chunks[low:high])
+            local, row = np.unique(token, return_inverse=True)
+            has = np.zeros((len(local) + 1, high - low), kind)
+            has[row, np.repeat(np.arange(high - low), [len(x) for x in chunks[low:high]])] = 1
+            place = np.full(n_tokens + 1, len(local))
+            place[local] = np.arange(len(local))
+            for some, tokens_of in blocks:
+                score = np.zeros((len(some), high - low), kind)
+                for t in place[tokens_of]:
+                    score += has[t]
+                key = np.hstack([out[some], score.astype(np.int64) * n + np.arange(n - 1 - low, n - 1 - high, -1)])
+                out[some] = np.partition(key, -k, axis=1)[:, -k:]
+            low = high
+        return out
+
+    def run(asked: pa.Table, held: pa.Table) -> pa.Table:
+        if not asked.num_rows or not held.num_rows:
+            return pa.table({})
+        asked, held = asked.combine_chunks(), held.sort_by("id").combine_chunks()
+        of_q, words_q = split(asked["tokens"].combine_chunks())
+        of_c, words_c = split(held["tokens"].combine_chunks())
+        known = pc.unique(words_c)
+        known = known.filter(pc.and_(pc.is_in(known, pc.unique(words_q)), pc.not_equal(known, "")))
+        q, questions = sets(*coded(of_q, words_q, known), asked.num_rows)
+        c, chunks = sets(*coded(of_c, words_c, known), held.num_rows)
+        order = np.argsort(c, kind="stable")
+        nth = np.arange(len(c)) - np.searchsorted(c[order], c[order])
+        kept = np.sort(order[nth < k])
+        key = best(questions, [chunks[x] for x in c[kept]], len(known))[q]
+        row, column = np.nonzero(key >= 0)
+        key, n = key[row, column], len(kept)
+        columns = [asked[x].take(pa.array(row)) for x in ("query_id", "pos")]
+        columns += [held[x].take(pa.array(kept[n - 1 - key % n])) for x in ("id", "rank", "keyword")]
+        return pa.table([*columns, pa.array((key // n).astype(np.float64))], ["query_id", "pos", "id", "rank", "keyword", "score"])
+
+    return run

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import splitters, text
 from ..operators import budget, caches, curation, fusion, graph, lexical, mount, node_embed, parsing, search
 from ..providers import HashEmbedding
-from ..session import materialize, read
+from ..session import broadcast_if_small, materialize, read
 from .config import RetrievalConfig
 from .retrieval import Retriever, Store
 
@@ -136,23 +136,20 @@ def entity_retrieval(spark: SparkSession, d: str) -> DataFrame:
     """Words of questions -> the 5 most specific keywords that hold them -> their
     chunks, ranked by the words that chunk and question share."""
     q = read(spark, d, "qa_pairs").where("question is not null").groupBy(F.col("id").alias("query_id")).agg(F.min("question").alias("question"))
-    words = q.select("query_id", F.posexplode(_words(F.col("question"))).alias("pos", "word"))
-    kws = materialize(_chunk_keywords(spark, d))
-    sized = kws.groupBy("keyword").agg(F.count("*").alias("n"))
+    bag = lambda c: F.array_join(F.array_distinct(lexical.tokens(F.col(c))), " ").alias("tokens")
+    words = q.select("query_id", bag("question"), F.posexplode(_words(F.col("question"))).alias("pos", "word"))
+    sized = _chunk_keywords(spark, d).groupBy("keyword").agg(F.count("*").alias("n"))
     first = graph.Window.partitionBy("word").orderBy("n", "keyword")
-    similar = (
+    similar = materialize(
         sized.select("keyword", "n", F.explode(_words(F.col("keyword"))).alias("word"))
+        .join(words.groupBy("word").agg(F.count("*").alias("asked")), "word")
         .withColumn("rank", F.row_number().over(first))
         .where("rank <= 5")
-        .select("word", "keyword", "rank")
     )
-    reached = words.join(similar, "word").join(kws, "keyword").select("query_id", F.col("chunk_id").alias("id")).distinct()
-    texts = _chunks(spark, d).select("id", F.array_distinct(lexical.tokens(F.col("text"))).alias("t"))
-    asked = q.select("query_id", F.array_distinct(lexical.tokens(F.col("question"))).alias("u"))
-    scores = reached.join(texts, "id").join(asked, "query_id").select(
-        "query_id", "id", F.size(F.array_intersect("t", "u")).cast("double").alias("score")
-    )
-    return lexical.entity_retrieval(words, similar, kws, scores.where("score is not null"), K)
+    wanted = broadcast_if_small(similar.select(F.col("keyword").alias("wanted")).distinct(), lexical.MAX_WORDS)
+    entries = read(spark, d, "keyword_entries").join(wanted, text.strip(F.col("keyword")) == F.col("wanted"), "left_semi")
+    texts = _chunks(spark, d).select("id", bag("text"))
+    return lexical.entity_overlap(words, similar, lexical.keyword_chunks(entries), texts, K)
 
 
 def mmr_keywords(spark: SparkSession, d: str) -> DataFrame:
